@@ -24,9 +24,13 @@ from reviewloom.functions.numbers import STARS
 _ANY = -1  # entry list of the whole group
 
 
-def hash_order(seed: int | str, purpose: str, *ids: str) -> Column:
+def hash_key(seed: int | str, purpose: str, *ids: str | Column) -> Column:
     """Sort key that puts rows in a reproducible random order."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), *ids))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), *[_text(c) for c in ids]))
+
+
+def _text(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def choose_sample(
@@ -41,8 +45,8 @@ def choose_sample(
 ) -> DataFrame:
     """The chosen rows as (group, id). ``id`` must be unique in its group."""
     core_cap = cap // len(STARS)
-    core_entry = F.struct(F.col(star).cast("int").alias("slot"), hash_order(seed, "core", group, row_id).alias("h"))
-    any_entry = F.struct(F.lit(_ANY).alias("slot"), hash_order(seed, "fill", group, row_id).alias("h"))
+    core_entry = F.struct(F.col(star).cast("int").alias("slot"), hash_key(seed, "core", group, row_id).alias("h"))
+    any_entry = F.struct(F.lit(_ANY).alias("slot"), hash_key(seed, "fill", group, row_id).alias("h"))
     is_star = F.col(star).isin(*STARS) if core_cap else F.lit(False)
 
     entries = (
@@ -108,7 +112,7 @@ def stratified_sample(
 
 def with_shuffle_rank(df: DataFrame, *ids: str, seed: int | str = 42) -> DataFrame:
     """Add ``shuffle_rank``, the sort key of a random row order. Sorting by it is left to the reader."""
-    return df.withColumn("shuffle_rank", hash_order(seed, "order", *ids))
+    return df.withColumn("shuffle_rank", hash_key(seed, "order", *ids))
 
 
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

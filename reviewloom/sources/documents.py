@@ -24,22 +24,23 @@ _JSON_SPACE = " \t\n\r"
 def scan_documents(
     spark: SparkSession, path: str, *, layout: str = "file", pattern: str = "*.json"
 ) -> DataFrame:
-    """Read documents as (file, value).
+    """Read documents as (file, modified, value).
 
     ``layout="file"``: one document per file, the file being its group. ``layout="line"``: one
     document per line as `sinks.write_documents` leaves them, grouped by their ``doc_key``, or by
     the digest of the line if there is none. Spark hides files whose names start with ``_`` or ``.``.
     """
+    modified = F.col("_metadata.file_modification_time").alias("modified")
     if layout == "file":
         return (
             spark.read.option("pathGlobFilter", pattern)
             .text(path, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("file"), "value")
+            .select(F.col("_metadata.file_path").alias("file"), modified, "value")
         )
     if layout == "line":
         lines = spark.read.option("pathGlobFilter", pattern).text(path)
         key = F.get_json_object("value", "$.doc_key")
-        return lines.select(F.coalesce(key, F.sha2("value", 256)).alias("file"), "value")
+        return lines.select(F.coalesce(key, F.sha2("value", 256)).alias("file"), modified, "value")
     raise ValueError(f"unknown layout: {layout}")
 
 
@@ -51,7 +52,6 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     trimmed = F.trim(F.col("value"), F.lit(_JSON_SPACE))
     # The parser stops after the first value; wrapped in an array, text after it shows.
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    only_value = F.try_variant_get(wrapped, "$[1]", "variant").isNull() & F.endswith(trimmed, F.lit("}"))
     parsed = raw.withColumn("_wrapped", F.when(F.is_valid_utf8("value"), wrapped))
     parsed = parsed.withColumn("doc", F.try_variant_get("_wrapped", "$[0]", "variant"))
 
