@@ -30,15 +30,14 @@ def _digit_map() -> tuple[str, str]:
 
 
 def ascii_digits(c: Column) -> Column:
-    """Decimal digits of every script as 0-9. Plain ASCII text, the usual case, skips the mapping."""
-    source, target = _digit_map()
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, source, target))
+    """Decimal digits of every script as 0-9. Looks at each character, so meant for short text."""
+    return F.translate(c, *_digit_map())
 
 
 def parse_int(c: Column) -> Column:
     """All digits of the text put together as BIGINT; 0 for none, null, or more than BIGINT holds."""
-    digits = F.regexp_replace(ascii_digits(c), "[^0-9]", "")
-    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    digits = ascii_digits(F.regexp_replace(c, r"\P{Nd}+", ""))
+    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def decimal_comma(c: Column) -> Column:

@@ -33,19 +33,23 @@ def relative_date(c: Column, as_of: Column | datetime | date | str | None = None
     today = F.to_date(as_of)
     t = F.replace(F.lower(c), F.lit(EDITED), F.lit(""))
 
-    run = F.regexp_extract(ascii_digits(t), "0*([0-9]+)", 1)
-    # Ten digits of hours already lie before year 1, so the number always fits.
-    n = F.when(run == "", 1).when(F.length(run) <= 9, run.try_cast("bigint"))
+    run = ascii_digits(F.regexp_extract(t, r"(\p{Nd}+)", 1))
+    # DOUBLE is exact for every number of days in the calendar and takes runs of any length.
+    n = F.coalesce(run.try_cast("double"), F.lit(1.0))
+    size = F.lit(None).cast("int")
+    for unit, length in reversed(DAYS_PER_UNIT.items()):
+        size = F.when(t.contains(unit), length).otherwise(size)
 
     # Only whole days matter: n hours before hh:mm crosses ceil((n - hh) / 24) midnights.
-    hours_as_days = F.floor((n - F.hour(as_of) + 23) / F.lit(24))
-    days = F.when(F.regexp_like(t, F.lit(JUST_NOW)), 0).when(t.contains(HOUR), hours_as_days)
-    for unit, length in DAYS_PER_UNIT.items():
-        days = days.when(t.contains(unit), n * length)
-    days = days.otherwise(0)
-
-    in_range = days <= F.datediff(today, F.lit("0001-01-01").cast("date"))
-    return F.when((c != "") & in_range, F.date_sub(today, days.cast("int")))
+    hours_as_days = F.floor((n - F.hour(as_of) + 23) / 24)
+    days = (
+        F.when(F.regexp_like(t, F.lit(JUST_NOW)), 0.0)
+        .when(t.contains(HOUR), hours_as_days)
+        .otherwise(F.coalesce(n * size, F.lit(0.0)))
+    )
+    calendar_start = F.lit("0001-01-01").cast("date")
+    in_range = days <= F.datediff(today, calendar_start)
+    return F.when((c != "") & in_range, F.date_sub(today, days.try_cast("int")))
 
 
 def relative_time(c: Column, as_of: Column | datetime | date | str | None = None) -> Column:

@@ -39,10 +39,11 @@ def variant_to_double(v: Column) -> Column:
     )
 
 
-def field_as_text(v: Column, key: str, default: str = "") -> Column:
-    """Text field; ``default`` stands in only where the key is absent."""
+def field_as_text(v: Column, key: str, default: str | None = None) -> Column:
+    """Text field, null for any other type; ``default`` stands in only where the key is absent."""
     x = field(v, key)
-    return F.when(x.isNull(), F.lit(default)).otherwise(variant_to_text(x))
+    text = variant_to_text(x)
+    return text if default is None else F.when(x.isNull(), F.lit(default)).otherwise(text)
 
 
 def _variant_number(v: Column) -> Column:

@@ -70,7 +70,7 @@ def sample_in_array(documents: DataFrame, cap: int, *, seed: int | str = 42) ->
     df = df.withColumn("_core_pos", F.transform("_core", lambda r: r["pos"]))
     rest = F.filter("reviews", lambda r: ~F.array_contains("_core_pos", r["pos"]))
     df = df.withColumn("_rest", F.sort_array(F.transform(rest, ranked("fill", False))))
-    free = F.slice("_rest", F.lit(1), F.lit(cap) - F.size("_core"))
+    free = F.slice("_rest", F.lit(1), F.lit(cap) - F.size("_core_pos"))
     picked = F.concat("_core", F.transform(free, lambda e: e["review"]))
     sample = F.when(over, picked).otherwise(F.col("reviews"))
     return df.withColumn("reviews", sample).drop("_starred", "_core", "_core_pos", "_rest")

@@ -82,6 +82,12 @@ def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where("reject_reason is null").drop("reject_reason", "value")
 
 
+def blank_rejected(parsed: DataFrame) -> DataFrame:
+    """All documents, with ``doc`` null for the rejected ones."""
+    usable = F.when(F.col("reject_reason").isNull(), F.col("doc"))
+    return parsed.withColumn("doc", usable).drop("reject_reason", "value")
+
+
 def rejected(parsed: DataFrame) -> DataFrame:
     """Side table of documents left out, with the reason."""
     return parsed.where("reject_reason is not null").select("file", "reject_reason")

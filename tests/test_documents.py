@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -116,9 +117,6 @@ def test_curated_rows(spark, tmp_path):
     out = curated(spark, tmp_path, text)
     assert out.columns == FINAL_COLUMNS
     got = sorted((r.user_id, r.user_rating, r.review_text, r.review_time) for r in out.collect() if r.user_rating is not None)
-    ann = "7c9cde6cfd"  # any ten hex digits; replaced below
-    import hashlib
-
     ann = hashlib.md5(b"ann").hexdigest()[:10]
     bob = hashlib.md5(b"bob").hexdigest()[:10]
     assert got == sorted(
