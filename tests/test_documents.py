@@ -32,7 +32,7 @@ GOOD = doc(review())
 CASES = {
     "good": (GOOD, None, 1),
     "truncated": (GOOD[:-20], "malformed_json", 0),
-    "bom": ("﻿" + GOOD, "malformed_json", 0),
+    "bom": ("\ufeff" + GOOD, "malformed_json", 0),
     "trailing": (GOOD + " x", "malformed_json", 0),
     "trailing2": (GOOD + " x}", "malformed_json", 0),
     "two": (GOOD + "," + GOOD, "malformed_json", 0),

@@ -124,7 +124,7 @@ def first_line(spark, sf_dir):
 
 @query
 def nonblank_filter(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 10 == 0, "\n ﻿").otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 10 == 0, "\n \ufeff").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").where(fn.is_nonblank(text)).select("doc_id")
 
 
