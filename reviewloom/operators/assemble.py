@@ -25,6 +25,9 @@ def assemble(places: DataFrame, extracted: DataFrame) -> DataFrame:
 
     The listing's name replaces the page's. Of places with one key the first that has a page wins.
     """
+    # Places alike in key and URL share the page, so only their first can win; this also thins out
+    # a URL that a listing repeats over and over before it becomes a join key.
+    places = keep_first(places, ["doc_key", "gmaps_url"], ["pos"])
     joined = places.join(extracted, F.col("gmaps_url") == F.col("url"))
     named = joined.withColumn("place_info", F.col("place_info").withField("name", F.col("place_name")))
     return keep_first(named, ["doc_key"], ["pos"]).select("doc_key", "place_info", "reviews")

@@ -70,7 +70,7 @@ def matched_links(pages: DataFrame, pattern: str, *, html: str = "html") -> Data
     )
     links = pages.select(*keys, F.posexplode(pairs).alias("pos", "link"))
     return links.select(
-        *keys, F.col("pos").cast("bigint"), F.col("link.1").alias("place_name"), F.col("link.0").alias("gmaps_url")
+        *keys, F.col("pos").cast("bigint"), F.col("link.name").alias("place_name"), F.col("link.url").alias("gmaps_url")
     ).where("place_name <> '' and gmaps_url <> ''")
 
 
@@ -92,6 +92,15 @@ def picked_links(pages: DataFrame, picks: Mapping[str, Pick] = LISTING_PICKS, *,
     )
 
 
+def _may_match(html: Column, pick: Pick) -> Column:
+    """Cheap test, done in the JVM, that is true for every page on which ``pick`` finds something:
+    most pages that cannot qualify are never handed to Python."""
+    last = pick.path[-1]
+    if last.classes:
+        return html.contains(last.classes[0])
+    return F.lower(html).contains(f"<{last.tag}") if last.tag else html.isNotNull()
+
+
 def place_pages(
     pages: DataFrame, picks: Mapping[str, Pick] = PLACE_PICKS, *, html: str = "html", card_cap: int = CARD_CAP
 ) -> DataFrame:
@@ -102,9 +111,7 @@ def place_pages(
     before the first ``card_cap`` are taken.
     """
     keys = [c for c in pages.columns if c != html]
-    # No heading, no place: settled in the JVM for pages that cannot qualify.
-    heading = F.lower(F.col(html))
-    possible = pages.where(heading.contains("<h1") | heading.contains("duwdvf"))
+    possible = pages.where(_may_match(F.col(html), picks["has_name"]) | _may_match(F.col(html), picks["has_h1"]))
     page = pick_elements(possible, picks, html=html).where("has_name or has_h1")
 
     def text(c: str, default: str = "") -> Column:

@@ -87,3 +87,55 @@ def event_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(star.between(1, 5), star).otherwise(0).cast("int").alias("rating_bucket"),
         "event_type",
     )
+
+
+LINK = r'<li><a href="([^"]*)">([^<]*)</a></li>'
+BLOCK_SIZE = 40  # consecutive documents that make up one place document
+
+
+def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A places list naming every page, two pages to a name."""
+    name = F.concat(F.lit("Page #"), F.floor(F.col("page_id") / 2).cast("string"), F.lit("!"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("pos"), name.alias("place_name"), F.col("url").alias("gmaps_url")
+    )
+
+
+def done_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of every third name of `page_places`."""
+    n = F.floor(F.col("page_id") / 2)
+    key = F.concat(F.lit("Page "), n.cast("string"))
+    return table(spark, sf_dir, "pages").where(n % 3 == 0).select(key.alias("doc_key")).distinct()
+
+
+def place_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in blocks of consecutive ids as JSON place documents (file, value), some of them
+    broken in various ways. A block is bounded, so is its array."""
+    d = table(spark, sf_dir, "documents")
+    block = F.floor(F.col("doc_id") / BLOCK_SIZE)
+    review = F.struct(
+        F.concat(F.lit("User "), (F.col("n_chars") % 3).cast("string")).alias("user_name"),
+        ((F.col("doc_id") * 7) % 11 % 8).alias("rating"),
+        "text",
+        phrase(F.col("doc_id")).alias("time"),
+    )
+    blocks = d.groupBy(block.alias("b")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("doc_id", review.alias("r")))), lambda x: x["r"]).alias("reviews")
+    )
+    b = F.col("b").cast("string")
+    info = F.struct(
+        F.concat(F.lit(" Block  "), b).alias("name"),
+        F.concat(F.lit("4,"), (F.col("b") % 10).cast("string")).alias("avg_rating"),
+        F.concat(b, F.lit(".000 ulasan")).alias("total_reviews_text"),
+        F.lit("Parking: Free |  | - WC").alias("attributes"),
+    )
+    file = F.concat(F.lit("block"), b)
+    text = F.to_json(F.struct(file.alias("doc_key"), info.alias("place_info"), "reviews"))
+    value = (
+        F.when(F.col("b") % 10 == 3, F.substring(text, F.lit(1), F.length(text) - 5))
+        .when(F.col("b") % 10 == 5, F.concat(text, F.lit(" x}")))
+        .when(F.col("b") % 10 == 7, F.replace(text, F.lit('"reviews":['), F.lit('"reviews":[3,')))
+        .when(F.col("b") % 10 == 8, F.concat(F.lit('{"doc_key":"'), file, F.lit('","place_info":null}')))
+        .otherwise(text)
+    )
+    return blocks.select(file.alias("file"), value.alias("value"))

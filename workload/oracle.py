@@ -1,7 +1,7 @@
 """DuckDB SQL giving the same result as each query."""
 from __future__ import annotations
 
-from workload.adapters import AS_OF, TIME_PHRASES
+from workload.adapters import AS_OF, BLOCK_SIZE, LINK, TIME_PHRASES
 
 # Fixed values shared by the statements.
 SPACE = r"\s\x1c-\x1f\x{85}\p{Z}"
@@ -157,3 +157,116 @@ SELECT {_anon('u')} AS user_id, rating AS user_rating, t AS review_text, {_relti
        place_total_reviews_gmaps, place_avg_rating
 FROM d JOIN sampled USING (file, pos) LEFT JOIN places USING (file)""",
 }
+
+
+# ---- pages -----------------------------------------------------------------------------------
+
+
+def _decode(c: str) -> str:
+    """Entities that occur in the test pages."""
+    for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{entity};?', '{char}', 'g')"
+    return c
+
+
+def _first(pattern: str, default: str = "") -> str:
+    return f"coalesce(regexp_extract_all(html, '{pattern}', 1)[1], '{default}')"
+
+
+def _unnest(keys: str, values: str, source: str) -> str:
+    """(keys…, pos, x) from list expressions."""
+    return f"SELECT {keys}, unnest(range(len({values}))) AS pos, unnest({values}) AS x FROM {source}"
+
+
+def _shown(c: str) -> str:
+    """Inner markup as a page shows it: <br> a newline, other tags gone, spaces squeezed."""
+    c = f"regexp_replace({c}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
+    c = f"regexp_replace({c}, ' *<br> *', chr(10), 'g')"
+    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    c = f"regexp_replace({c}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    return _decode(c)
+
+
+_LINKS = f"""links AS ({_unnest("page_id", f"list_zip(regexp_extract_all(html, '{LINK}', 1), regexp_extract_all(html, '{LINK}', 2))", "pages")})"""
+_BLOCKS = rf"""blocks AS ({_unnest("page_id", "list_filter(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13)) <> '')", "pages")})"""
+# A paragraph ends at its end tag, at the next one's start, or where its parent ends.
+_BODY = "regexp_replace(html, '(?s)<script.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g')"
+_CLOSED = f"regexp_replace({_BODY}, '(<p>|</article>|<footer|$)', '</p>\\1', 'g')"
+_PARAGRAPHS = rf"""paragraphs AS ({_unnest("page_id, url, html", f"regexp_extract_all({_CLOSED}, '(?s)<p>(.*?)</p>', 1)", "pages")}),
+cards AS (SELECT page_id, url, html, pos, {_shown("x")} AS text,
+    CASE WHEN contains(x, '<b>') THEN {_shown("regexp_extract(x, '(?s)<b>(.*)', 1)")} END AS bold,
+    CASE WHEN contains(x, '<b>') THEN len(regexp_extract_all(x, '<br>')) ELSE 0 END AS stars FROM paragraphs)"""
+_PAGE_PLACES = """page_places AS (SELECT page_id AS pos, 'Page #' || (page_id // 2) || '!' AS place_name, url AS gmaps_url,
+    'Page ' || (page_id // 2) AS doc_key FROM pages),
+done AS (SELECT DISTINCT 'Page ' || (page_id // 2) AS doc_key FROM pages WHERE (page_id // 2) % 3 = 0),
+todo AS (SELECT * FROM page_places p WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.doc_key = p.doc_key)),
+firsts AS (SELECT * FROM todo QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY pos) = 1)"""
+
+ORACLE |= {
+    "extract_links": f"WITH {_LINKS} SELECT page_id, pos, x[2] AS place_name, x[1] AS gmaps_url FROM links WHERE x[1] <> '' AND x[2] <> ''",
+    "picked_page_links": f"""WITH {_LINKS} SELECT page_id, pos, trim({_decode('x[2]')}) AS place_name, {_decode('x[1]')} AS gmaps_url
+FROM links WHERE x[1] <> '' AND x[2] <> ''""",
+    "pages_qualified": r"""SELECT page_id FROM pages WHERE regexp_matches(html, 'class="[^"]*lfPIob') OR regexp_matches(html, '<h1[\s>]')""",
+    "page_metadata": f"""SELECT page_id, {_first("(?s)<h1>(.*?)</h1>")} AS name, {_first('<html lang="([^"]*)"')} AS category,
+    replace({_first('<span aria-hidden="true">([^<]*)</span>', '0')}, ',', '.') AS avg_rating,
+    {_first('aria-label="([^"]*(?:ulasan|reviews)[^"]*)"')} AS total_reviews_text,
+    {_first("(?s)<footer>(.*?)</footer>")} AS address FROM pages""",
+    "page_attributes": f"""SELECT page_id, {_first('<div class="ad">([^<]*)</div>')} AS description,
+    array_to_string(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: replace(x, chr(10), ': ')), ' | ') AS attributes
+FROM pages""",
+    "page_blocks": f"WITH {_BLOCKS} SELECT page_id, pos, x AS text FROM blocks WHERE pos < 400",
+    "first_n_per_page": f"""WITH {_LINKS}, l AS (SELECT page_id, pos, x[2] AS place_name, x[1] AS gmaps_url FROM links WHERE x[1] <> '' AND x[2] <> '')
+SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3""",
+    "picked_page_blocks": f"""WITH {_PARAGRAPHS} SELECT page_id, {_shown(_first("(?s)<h1>(.*?)</h1>"))} AS name, pos, text FROM cards""",
+    "place_page_info": f"""WITH {_PARAGRAPHS}, n AS (SELECT page_id, count(*) AS n FROM cards WHERE text <> '' GROUP BY page_id)
+SELECT page_id, {_shown(_first("(?s)<h1>(.*?)</h1>"))} AS name, {_first('<html lang="([^"]*)"')} AS category, '0' AS avg_rating,
+    '' AS total_reviews_text, {_shown(_first("(?s)<footer>(.*?)</footer>"))} AS address,
+    {_shown(_first('(?s)<div class="ad">(.*?)</div>'))} AS description,
+    array_to_string(list_transform(regexp_extract_all(html, '{LINK}', 2), lambda x: trim({_decode('x')})), ' | ') AS attributes,
+    least(coalesce(n, 0), 400) AS n_reviews FROM pages LEFT JOIN n USING (page_id)""",
+    "assemble_documents": f"""WITH {_PARAGRAPHS}, {_PAGE_PLACES}
+SELECT doc_key, place_name AS name, row_number() OVER (PARTITION BY doc_key ORDER BY cards.pos) - 1 AS pos, text
+FROM firsts JOIN cards ON gmaps_url = url WHERE text <> ''""",
+    "collect_place_documents": f"""WITH {_PAGE_PLACES}
+SELECT doc_key, place_name AS name, '0' AS avg_rating, CAST(0 AS BIGINT) AS n_reviews FROM firsts""",
+    "incremental_skip": f"WITH {_PAGE_PLACES} SELECT doc_key, pos, place_name, gmaps_url FROM firsts",
+    "places_csv_roundtrip": f"WITH {_LINKS} SELECT x[2] AS place_name, x[1] AS gmaps_url FROM links WHERE x[1] <> '' AND x[2] <> ''",
+    "documents_json_roundtrip": f"""WITH {_PARAGRAPHS}, {_PAGE_PLACES}
+SELECT doc_key AS file, row_number() OVER (PARTITION BY doc_key ORDER BY cards.pos) - 1 AS pos,
+    coalesce(split_part(bold, chr(10), 1), 'Anonymous') AS user_name, stars AS rating, text
+FROM firsts JOIN cards ON gmaps_url = url WHERE text <> ''""",
+}
+
+# ---- documents, files ------------------------------------------------------------------------
+
+_REASON = """CASE WHEN b % 10 IN (3, 5) THEN 'malformed_json' WHEN b % 10 = 7 THEN 'review_not_object'
+    WHEN b % 10 = 8 THEN 'place_info_not_object' ELSE '' END"""
+_BLOCK_REVIEWS = f"""reviews AS (
+  SELECT doc_id // {BLOCK_SIZE} AS b, 'block' || (doc_id // {BLOCK_SIZE}) AS file, doc_id, text, {_PHRASE} AS time,
+         row_number() OVER (PARTITION BY doc_id // {BLOCK_SIZE} ORDER BY doc_id) - 1 AS pos,
+         'User ' || (n_chars % 3) AS user_name, CAST((doc_id * 7) % 11 % 8 AS BIGINT) AS rating FROM documents),
+ok AS (SELECT *, CASE WHEN rating BETWEEN 1 AND 5 THEN rating ELSE 0 END AS bucket FROM reviews WHERE {_REASON} = '')"""
+
+
+def _block_fields() -> str:
+    rating = _parse_rating("'4,' || (b % 10)")
+    return f"""'Block ' || b AS place_name, '' AS place_description, '' AS place_category,
+    'Parking: Free, WC' AS place_attributes, '' AS place_address,
+    CAST(b * 1000 AS BIGINT) AS place_total_reviews_gmaps, {rating} AS place_avg_rating"""
+
+
+ORACLE |= {
+    "quarantine": f"WITH {_BLOCK_REVIEWS} SELECT DISTINCT file, {_REASON} AS reject_reason FROM reviews",
+    "flatten_documents": f"WITH {_BLOCK_REVIEWS} SELECT file, pos, user_name, text, time, rating FROM ok",
+    "place_fields_of_documents": f"WITH {_BLOCK_REVIEWS} SELECT DISTINCT file, {_block_fields()} FROM ok",
+    "scan_written_documents": f"""WITH {_BLOCK_REVIEWS}, d AS (SELECT DISTINCT file, {_REASON} AS reject_reason FROM reviews)
+SELECT reject_reason, count(*) AS n_docs, count(*) AS n_files FROM d GROUP BY reject_reason""",
+    "curated_documents": f"""
+WITH {_BLOCK_REVIEWS},
+c AS (SELECT b, file, pos, bucket, rating, time, {_clean('user_name')} AS u, {_clean('text')} AS t FROM ok),
+d AS (SELECT * FROM c WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY file, u, t ORDER BY pos) = 1),
+{_sample('d', 20)}
+SELECT {_anon('u')} AS user_id, rating AS user_rating, t AS review_text, {_reltime('time', _T)} AS review_time, {_block_fields()}
+FROM d JOIN sampled USING (file, pos)""",
+    "final_csv_roundtrip": ORACLE["curated_reviews"],
+}

@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom import functions as fn
+from reviewloom.operators.assemble import skip_done, with_doc_key
 from reviewloom.operators.dedup import keep_first
+from reviewloom.operators.extract import all_matches, first_blocks, first_match, matched_links, picked_links, place_pages
+from reviewloom.operators.html_pick import All, Count, Css, Each, Exists, First, pick_elements
 from reviewloom.operators.sample import first_n, stratified_sample, with_shuffle_rank
 from reviewloom.operators.tables import (
     filter_nonempty,
@@ -17,9 +20,13 @@ from reviewloom.operators.tables import (
     union_all,
     value_distribution,
 )
-from reviewloom.plans.curate import curate_reviews
+from reviewloom.plans.collect import collect_documents
+from reviewloom.plans.curate import curate_documents, curate_reviews
+from reviewloom.session import shared_path
+from reviewloom.sources import sinks
+from reviewloom.sources.documents import accepted, document_reviews, parse_documents, place_fields, scan_documents
 from workload import adapters as a
-from workload.adapters import AS_OF, table
+from workload.adapters import AS_OF, LINK, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,3 +235,195 @@ def curated_reviews(spark, sf_dir):
     """The flagship: the final table from raw reviews."""
     final = curate_reviews(a.reviews(spark, sf_dir), a.places(spark, sf_dir), as_of=AS_OF)
     return final.withColumn("user_rating", F.col("user_rating").cast("bigint"))
+
+
+# ---- pages -----------------------------------------------------------------------------------
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "html")
+
+
+@query
+def extract_links(spark, sf_dir):
+    return matched_links(_pages(spark, sf_dir), LINK)
+
+
+@query
+def picked_page_links(spark, sf_dir):
+    """The same links by selector instead of by pattern, entities decoded."""
+    picks = {"links": Each((Css("li"), Css("a")), {"place_name": First(), "gmaps_url": First(attr="href")})}
+    return picked_links(_pages(spark, sf_dir), picks)
+
+
+@query
+def pages_qualified(spark, sf_dir):
+    html = F.col("html")
+    primary = F.regexp_like(html, F.lit(r'class="[^"]*lfPIob'))
+    return _pages(spark, sf_dir).where(primary | F.regexp_like(html, F.lit(r"<h1[\s>]"))).select("page_id")
+
+
+@query
+def page_metadata(spark, sf_dir):
+    html = F.col("html")
+    return _pages(spark, sf_dir).select(
+        "page_id",
+        first_match(html, r"(?s)<h1>(.*?)</h1>").alias("name"),
+        first_match(html, r'<html lang="([^"]*)"').alias("category"),
+        fn.decimal_comma(first_match(html, r'<span aria-hidden="true">([^<]*)</span>', "0")).alias("avg_rating"),
+        first_match(html, r'aria-label="([^"]*(?:ulasan|reviews)[^"]*)"').alias("total_reviews_text"),
+        first_match(html, r"(?s)<footer>(.*?)</footer>").alias("address"),
+    )
+
+
+@query
+def page_attributes(spark, sf_dir):
+    html = F.col("html")
+    return _pages(spark, sf_dir).select(
+        "page_id",
+        first_match(html, r'<div class="ad">([^<]*)</div>').alias("description"),
+        fn.list_to_text(all_matches(html, r"<p>([^<]*)")).alias("attributes"),
+    )
+
+
+@query
+def page_blocks(spark, sf_dir):
+    return first_blocks(_pages(spark, sf_dir), all_matches(F.col("html"), r"<p>([^<]*)"), 400, keys=["page_id"])
+
+
+@query
+def first_n_per_page(spark, sf_dir):
+    """First rows of a group kept as a table."""
+    return first_n(matched_links(_pages(spark, sf_dir), LINK), ["page_id"], ["pos"], 3)
+
+
+@query
+def picked_page_blocks(spark, sf_dir):
+    """Paragraphs of messy markup, unclosed ones included."""
+    blocks = pick_elements(_pages(spark, sf_dir), {"p": All((Css("p"),)), "name": First((Css("h1"),))})
+    return blocks.select("page_id", "name", F.posexplode("p").alias("pos", "text")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )
+
+
+# Where the test pages keep what a place page has: links stand for attributes, paragraphs for cards.
+PAGE_PICKS = {
+    "has_name": Exists((Css(classes=("DUwDvf", "lfPIob")),)),
+    "has_h1": Exists((Css("h1"),)),
+    "name": First((Css("h1"),)),
+    "avg_rating": First((Css("span", attr="aria-hidden", equals="true"),)),
+    "total_reviews_text": First((Css(attr="aria-label", contains=("ulasan", "reviews")),), attr="aria-label"),
+    "category": First((Css("html"),), attr="lang"),
+    "address": First((Css("footer"),)),
+    "about_tab": Exists((Css("nav"),)),
+    "description": First((Css("div", ("ad",)),)),
+    "attribute_items": All((Css("nav"), Css("li"))),
+    "review_tab": Exists((Css("article"),)),
+    "cards": Each(
+        (Css("p"),),
+        {"text": First(), "user": First((Css("b"),)), "stars": Count((Css("br"),), within=(Css("b"),)), "time": First((Css("i"),))},
+    ),
+}
+
+
+@query
+def place_page_info(spark, sf_dir):
+    extracted = place_pages(_pages(spark, sf_dir), PAGE_PICKS)
+    return extracted.select("page_id", "place_info.*", F.size("reviews").cast("bigint").alias("n_reviews"))
+
+
+def _assembled(spark, sf_dir):
+    from reviewloom.operators.assemble import assemble
+
+    todo = skip_done(with_doc_key(a.page_places(spark, sf_dir)), a.done_keys(spark, sf_dir))
+    extracted = place_pages(table(spark, sf_dir, "pages").select("url", "html"), PAGE_PICKS)
+    return assemble(todo, extracted)
+
+
+@query
+def assemble_documents(spark, sf_dir):
+    return _assembled(spark, sf_dir).select(
+        "doc_key", F.col("place_info.name").alias("name"), F.posexplode("reviews").alias("pos", "r")
+    ).select("doc_key", "name", F.col("pos").cast("bigint").alias("pos"), F.col("r.text").alias("text"))
+
+
+@query
+def collect_place_documents(spark, sf_dir):
+    """The whole collecting plan with the place-page selectors; these pages hold headings only."""
+    pages = table(spark, sf_dir, "pages")
+    docs = collect_documents(a.page_places(spark, sf_dir), pages, a.done_keys(spark, sf_dir))
+    return docs.select(
+        "doc_key",
+        "place_info.name",
+        "place_info.avg_rating",
+        F.size("reviews").cast("bigint").alias("n_reviews"),
+    )
+
+
+@query
+def incremental_skip(spark, sf_dir):
+    todo = skip_done(with_doc_key(a.page_places(spark, sf_dir)), a.done_keys(spark, sf_dir))
+    return keep_first(todo, ["doc_key"], ["pos"]).select("doc_key", "pos", "place_name", "gmaps_url")
+
+
+# ---- documents, files ------------------------------------------------------------------------
+
+
+@query
+def quarantine(spark, sf_dir):
+    parsed = parse_documents(a.place_documents(spark, sf_dir))
+    return parsed.select("file", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"))
+
+
+@query
+def flatten_documents(spark, sf_dir):
+    docs = accepted(parse_documents(a.place_documents(spark, sf_dir)))
+    tall = document_reviews(docs)
+    return tall.select("file", "pos", "user_name", "text", "time", F.col("rating").cast("bigint").alias("rating"))
+
+
+@query
+def place_fields_of_documents(spark, sf_dir):
+    docs = place_fields(accepted(parse_documents(a.place_documents(spark, sf_dir))))
+    return docs.drop("doc")
+
+
+@query
+def scan_written_documents(spark, sf_dir):
+    """Documents written as lines, scanned again, counted by what became of them."""
+    path = shared_path(spark, "lines")
+    a.place_documents(spark, sf_dir).select("value").write.text(path)
+    parsed = parse_documents(scan_documents(spark, path, layout="line", pattern="*.txt"))
+    return parsed.groupBy(F.coalesce("reject_reason", F.lit("")).alias("reject_reason")).agg(
+        F.count("*").alias("n_docs"), F.count_distinct("file").alias("n_files")
+    )
+
+
+@query
+def documents_json_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "documents")
+    sinks.write_documents(_assembled(spark, sf_dir), path)
+    docs = accepted(parse_documents(scan_documents(spark, path, layout="line")))
+    return document_reviews(docs).select("file", "pos", "user_name", F.col("rating").cast("bigint").alias("rating"), "text")
+
+
+@query
+def places_csv_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "places")
+    sinks.write_places(matched_links(_pages(spark, sf_dir), LINK), path)
+    return sinks.read_places(spark, path)
+
+
+@query
+def curated_documents(spark, sf_dir):
+    """The final table from JSON documents, all within their rows."""
+    final = curate_documents(a.place_documents(spark, sf_dir), as_of=AS_OF, cap=20)
+    return final.withColumn("user_rating", F.col("user_rating").cast("bigint"))
+
+
+@query
+def final_csv_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "final")
+    final = sinks.stage(curated_reviews(spark, sf_dir), "final-staged")
+    sinks.write_final(final, path)
+    return sinks.read_final(spark, path, final.schema)
