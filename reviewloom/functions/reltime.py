@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from reviewloom.functions.numbers import ascii_digits
 
 # Words of the interface language, tested in this order as substrings.
 EDITED = "diedit"
-JUST_NOW = "menit|detik|baru saja"
+JUST_NOW = ["menit", "detik", "baru saja"]
 HOUR = "jam"
 DAYS_PER_UNIT = {"hari": 1, "minggu": 7, "bulan": 30, "tahun": 365}
 
@@ -42,10 +44,9 @@ def relative_date(c: Column, as_of: Column | datetime | date | str | None = None
 
     # Only whole days matter: n hours before hh:mm crosses ceil((n - hh) / 24) midnights.
     hours_as_days = F.floor((n - F.hour(as_of) + 23) / 24)
+    just_now = reduce(or_, [t.contains(word) for word in JUST_NOW])
     days = (
-        F.when(F.regexp_like(t, F.lit(JUST_NOW)), 0.0)
-        .when(t.contains(HOUR), hours_as_days)
-        .otherwise(F.coalesce(n * size, F.lit(0.0)))
+        F.when(just_now, 0.0).when(t.contains(HOUR), hours_as_days).when(size.isNotNull(), n * size).otherwise(0.0)
     )
     calendar_start = F.lit("0001-01-01").cast("date")
     in_range = days <= F.datediff(today, calendar_start)

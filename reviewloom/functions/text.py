@@ -45,11 +45,10 @@ def has_text(c: Column) -> Column:
 def clean_attributes(c: Column) -> Column:
     """``"a | -b |  | !"`` -> ``"a, b"``: each pipe-separated item loses its leading
     characters outside ASCII letters and digits; empty items go."""
-    # One match swallows a separator, the junk after it and any empty items that follow,
-    # so no array is built. What is left starts every item with "|".
-    c = F.regexp_replace(clean_text(c), r"(?:^|[|])[^a-zA-Z0-9]*", "|")
-    c = F.regexp_replace(c, r" *[|]", "|")
-    return F.replace(F.trim(c, F.lit("|")), F.lit("|"), F.lit(", "))
+    items = F.transform(
+        F.split(clean_text(c), r"\|"), lambda x: F.trim(F.regexp_replace(x, "^[^a-zA-Z0-9]+", ""))
+    )
+    return F.array_join(F.filter(items, lambda x: x != ""), ", ")
 
 
 def anonymize_user(c: Column) -> Column:

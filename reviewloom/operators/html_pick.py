@@ -6,9 +6,10 @@ once per page for all fields. What the values mean is decided by column expressi
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,14 +17,47 @@ from pyspark.sql import types as T
 
 # Fixed values of the HTML standard, as far as they matter here.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_HIDDEN = {"script", "style", "head", "template", "noscript"}
+_RAW_TEXT = {"script", "style", "textarea", "title"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section",
     "table", "tr", "ul",
 }
 
-_SPACES = re.compile(r"[ \t\n\r\f]+")
+_P_STOP = frozenset({"div", "li", "td", "article", "section", "body"})
+_LI_STOP = frozenset({"ul", "ol"})
+
+# A comment or a tag; quoted attribute values may hold ">", stray quotes are let pass.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']*(?:"[^"]*"|'[^']*'))*[^<>"']*|[^<>]*)>|<[!?][^>]*>""", re.S
+)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b.*?</\1\s*>", re.S | re.I)
+
+# Stand-ins for line breaks while text is put together: <br>, edge of a block, edge of a paragraph.
+_BR, _EDGE, _PARAGRAPH = "\x01", "\x02", "\x03"
+_GAP = re.compile(r"[ \t\n\r\f\x01\x02\x03]+")
+
+
+def _as_break(m: re.Match) -> str:
+    tag = (m.group(2) or "").lower()
+    if tag == "br":
+        return _BR
+    return _PARAGRAPH if tag == "p" else _EDGE if tag in _BLOCK else ""
+
+
+def _as_gap(m: re.Match) -> str:
+    breaks = 0
+    for c in m.group():
+        if c == _BR:
+            breaks += 1
+        elif c == _EDGE:
+            breaks = max(breaks, 1)
+        elif c == _PARAGRAPH:
+            breaks = max(breaks, 2)
+    return "\n" * breaks or " "
+
+
 _OUT_ROWS = 256  # rows per output batch
 
 
@@ -38,9 +72,7 @@ class Css:
     equals: str | None = None
     contains: tuple[str, ...] = ()
 
-    def matches(self, tag: str, attrs: Mapping[str, str]) -> bool:
-        if self.tag and tag != self.tag:
-            return False
+    def matches(self, attrs: Mapping[str, str]) -> bool:
         if self.classes and not set(self.classes) <= set(attrs.get("class", "").split()):
             return False
         if not self.attr:
@@ -111,84 +143,86 @@ class Each:
 Pick = First | All | Count | Exists | Each
 
 
-class _Page(HTMLParser):
-    """Elements in page order, each with the end of its descendants and its range of text tokens."""
+class _Page:
+    """Elements of a page in page order: tag, raw attributes, where their content starts and ends,
+    and the end of their descendants. Attributes and text are read when a pick asks for them."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
+        self.html = html
         self.tags: list[str] = []
-        self.attrs: list[dict[str, str]] = []
+        self.raw_attrs: list[str] = []
+        self.content: list[list[int]] = []
         self.end: list[int] = []
-        self.span: list[list[int]] = []
-        self.tokens: list[str | int] = []  # text, or a number of line breaks
+        self.by_tag: dict[str, list[int]] = {}
         self._open: list[int] = []
-        self.feed(html)
-        self.close()
+        at = 0
+        while m := _TAG.search(html, at):
+            at = m.end()
+            slash, name, attrs = m.groups()
+            if not name:
+                continue
+            tag = name.lower()
+            if slash:
+                if tag not in _VOID:
+                    self._close(tag, m.start())
+                continue
+            self._start(tag, attrs, m)
+            if tag in _RAW_TEXT and (stop := re.compile(f"</{tag}", re.I).search(html, at)):
+                at = stop.start()
         while self._open:
-            self._close_top()
+            self._close_top(len(html))
 
-    def handle_starttag(self, tag, attrs):
+    def _start(self, tag: str, attrs: str, m: re.Match) -> None:
         if tag in _BLOCK:
-            self._close_open("p", stop={"div", "li", "td", "article", "section", "body"})
+            self._close("p", m.start(), stop=_P_STOP)
         if tag == "li":
-            self._close_open("li", stop={"ul", "ol"})
-        self._line_break(tag)
+            self._close("li", m.start(), stop=_LI_STOP)
         i = len(self.tags)
         self.tags.append(tag)
-        self.attrs.append({k: v or "" for k, v in attrs})
+        self.raw_attrs.append(attrs)
+        self.content.append([m.end(), m.end()])
         self.end.append(i + 1)
-        self.span.append([len(self.tokens), len(self.tokens)])
-        if tag == "br":
-            self.tokens.append(1)
-            self.span[i][1] += 1
+        self.by_tag.setdefault(tag, []).append(i)
         if tag not in _VOID:
             self._open.append(i)
 
-    def handle_endtag(self, tag):
-        if tag not in _VOID:
-            self._close_open(tag)
-
-    def handle_data(self, data):
-        if not any(self.tags[i] in _HIDDEN for i in self._open):
-            self.tokens.append(data)
-
-    def _line_break(self, tag):
-        if tag in _BLOCK:
-            self.tokens.append(-2 if tag == "p" else -1)
-
-    def _close_top(self):
+    def _close_top(self, at: int) -> None:
         i = self._open.pop()
         self.end[i] = len(self.tags)
-        self.span[i][1] = len(self.tokens)
-        self._line_break(self.tags[i])
+        self.content[i][1] = at
 
-    def _close_open(self, tag, stop=frozenset()):
+    def _close(self, tag: str, at: int, stop: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open ``tag`` and what is open inside, unless ``stop`` is in between."""
         for depth in range(len(self._open) - 1, -1, -1):
             open_tag = self.tags[self._open[depth]]
             if open_tag == tag:
                 while len(self._open) > depth:
-                    self._close_top()
+                    self._close_top(at)
                 return
             if open_tag in stop:
                 return
 
+    def attrs(self, i: int) -> dict[str, str]:
+        found: dict[str, str] = {}
+        for name, double, single, bare in _ATTR.findall(self.raw_attrs[i]):
+            found.setdefault(name.lower(), unescape(double or single or bare))
+        return found
+
     def text(self, i: int) -> str:
         """Text much as a browser shows it: spaces squeezed, <br> and blocks as line breaks."""
-        out: list[str] = []
-        breaks, space = 0, False
-        for token in self.tokens[slice(*self.span[i])]:
-            if isinstance(token, int):
-                breaks, space = (breaks + token if token > 0 else max(breaks, -token)), False
-                continue
-            squeezed = _SPACES.sub(" ", token)
-            words = squeezed.strip(" ")
-            space = space or squeezed.startswith(" ")
-            if words:
-                if out:
-                    out.append("\n" * breaks or " " * space)
-                out.append(words)
-                breaks, space = 0, squeezed.endswith(" ")
-        return "".join(out)
+        inner = self.html[slice(*self.content[i])]
+        if "<" in inner:
+            inner = _TAG.sub(_as_break, _HIDDEN.sub("", inner))
+        return unescape(_GAP.sub(_as_gap, inner).strip(" \n"))
+
+    def _matches(self, step: Css, i: int) -> bool:
+        raw = self.raw_attrs[i]
+        if not step.classes and not step.attr:
+            return True
+        # Most elements fail here, before their attributes are taken apart.
+        if any(c not in raw for c in step.classes):
+            return False
+        return step.matches(self.attrs(i))
 
     def find(self, path: tuple[Css, ...], root: int | None = None) -> Iterator[int]:
         """Elements below ``root`` matching a chain of descendant steps, in page order."""
@@ -198,8 +232,12 @@ class _Page(HTMLParser):
         spans = [(0, len(self.tags)) if root is None else (root + 1, self.end[root])]
         hits: list[int] = []
         for step in path:
-            inside = {i for a, b in spans for i in range(a, b)}
-            hits = sorted(i for i in inside if step.matches(self.tags[i], self.attrs[i]))
+            if step.tag:
+                own = self.by_tag.get(step.tag, [])
+                inside = {i for a, b in spans for i in own[bisect_left(own, a) : bisect_left(own, b)]}
+            else:
+                inside = {i for a, b in spans for i in range(a, b)}
+            hits = sorted(i for i in inside if self._matches(step, i))
             spans = [(i + 1, self.end[i]) for i in hits]
         yield from hits
 
@@ -225,7 +263,7 @@ class _Page(HTMLParser):
         hit = next(self.find(p.path, root), None)
         if hit is None:
             return None
-        return self.attrs[hit].get(p.attr) if p.attr else self.text(hit)
+        return self.attrs(hit).get(p.attr) if p.attr else self.text(hit)
 
 
 def pick_elements(pages: DataFrame, picks: Mapping[str, Pick], *, html: str = "html") -> DataFrame:

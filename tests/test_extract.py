@@ -118,3 +118,18 @@ def test_keys_of_other_types_pass_through(spark):
     df = spark.sql("select 1L id, timestamp_ntz'2024-01-01 00:00:00' t, date'2024-01-01' d, '<p>a<p>b' html")
     row = pick_elements(df, {"p": All((Css("p"),)), "h1": First((Css("h1"),))}).first()
     assert (row.id, row.p, row.h1, str(row.d)) == (1, ["a", "b"], None, "2024-01-01")
+
+
+def test_broken_markup_is_read_in_linear_time():
+    import time
+
+    start = time.time()
+    for junk in ("<a", "<a '", '<a "', "<a ''", "<!--", "<div>", "</div>", "<p class='"):
+        _Page("<h1>x</h1>" + junk * 50_000)
+    assert time.time() - start < 20
+
+
+def test_attributes():
+    page = _Page("""<a title="x > y" data-n='1 "2"' HREF=/p?a=1&amp;b=2 disabled>t</a><A class="c  d">u</A>""")
+    assert page.attrs(0) == {"title": "x > y", "data-n": '1 "2"', "href": "/p?a=1&b=2", "disabled": ""}
+    assert [page.text(i) for i in page.find((Css("a", ("d", "c")),))] == ["u"]
