@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from html import unescape
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 # Fixed values of the HTML standard, as far as they matter here.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_RAW_TEXT = {"script", "style", "textarea", "title"}
+_RAW_TEXT = {t: re.compile(f"</{t}", re.I) for t in ("script", "style", "textarea", "title")}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section",
@@ -29,10 +30,10 @@ _LI_STOP = frozenset({"ul", "ol"})
 
 # A comment or a tag; quoted attribute values may hold ">", stray quotes are let pass.
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']*(?:"[^"]*"|'[^']*'))*[^<>"']*|[^<>]*)>|<[!?][^>]*>""", re.S
+    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/<>"']*)(?=[\s/<>"'])((?:[^<>"']*(?:"[^"]*"|'[^']*'))*[^<>"']*|[^<>]*)>|<[!?][^<>]*>""", re.S
 )
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b.*?</\1\s*>", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 
 # Stand-ins for line breaks while text is put together: <br>, edge of a block, edge of a paragraph.
 _BR, _EDGE, _PARAGRAPH = "\x01", "\x02", "\x03"
@@ -155,6 +156,7 @@ class _Page:
         self.end: list[int] = []
         self.by_tag: dict[str, list[int]] = {}
         self._open: list[int] = []
+        self._n_open: Counter[str] = Counter()
         at = 0
         while m := _TAG.search(html, at):
             at = m.end()
@@ -167,8 +169,9 @@ class _Page:
                     self._close(tag, m.start())
                 continue
             self._start(tag, attrs, m)
-            if tag in _RAW_TEXT and (stop := re.compile(f"</{tag}", re.I).search(html, at)):
-                at = stop.start()
+            if tag in _RAW_TEXT:
+                stop = _RAW_TEXT[tag].search(html, at)
+                at = stop.start() if stop else len(html)
         while self._open:
             self._close_top(len(html))
 
@@ -185,14 +188,18 @@ class _Page:
         self.by_tag.setdefault(tag, []).append(i)
         if tag not in _VOID:
             self._open.append(i)
+            self._n_open[tag] += 1
 
     def _close_top(self, at: int) -> None:
         i = self._open.pop()
+        self._n_open[self.tags[i]] -= 1
         self.end[i] = len(self.tags)
         self.content[i][1] = at
 
     def _close(self, tag: str, at: int, stop: frozenset[str] = frozenset()) -> None:
         """Close the innermost open ``tag`` and what is open inside, unless ``stop`` is in between."""
+        if not self._n_open[tag]:
+            return
         for depth in range(len(self._open) - 1, -1, -1):
             open_tag = self.tags[self._open[depth]]
             if open_tag == tag:
