@@ -43,10 +43,14 @@ def choose_sample(
     seed: int | str = 42,
     splits: int = 256,
 ) -> DataFrame:
-    """The chosen rows as (group, id). ``id`` must be unique in its group."""
+    """The chosen rows as (group, id). ``id`` must be unique in its group, neither may be null."""
     core_cap = cap // len(STARS)
-    core_entry = F.struct(F.col(star).cast("int").alias("slot"), hash_key(seed, "core", group, row_id).alias("h"))
-    any_entry = F.struct(F.lit(_ANY).alias("slot"), hash_key(seed, "fill", group, row_id).alias("h"))
+
+    def entry(slot: Column, purpose: str) -> Column:
+        # As bytes: half as long as the hex text, and in the same order.
+        return F.struct(slot.alias("slot"), F.unhex(hash_key(seed, purpose, group, row_id)).alias("h"))
+
+    core_entry, any_entry = entry(F.col(star).cast("int"), "core"), entry(F.lit(_ANY), "fill")
     is_star = F.col(star).isin(*STARS) if core_cap else F.lit(False)
 
     entries = (

@@ -31,9 +31,10 @@ def filter_nonempty(df: DataFrame, text: str) -> DataFrame:
 
 def flatten(documents: DataFrame, reviews: str = "reviews", keep: Sequence[str] = ()) -> DataFrame:
     """One row per element of the review array with its position; ``keep`` columns are repeated."""
-    return documents.select(*keep, F.posexplode(reviews).alias("pos", "review")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    # The outer form spares the size check that Spark would otherwise push below the projection
+    # making the array, which would then be made twice.
+    tall = documents.select(*keep, F.posexplode_outer(reviews).alias("pos", "review")).where("pos is not null")
+    return tall.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -79,6 +79,8 @@ def parse_documents(raw: DataFrame) -> DataFrame:
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
+    """Usable documents only. Spark evaluates this filter below the parsing and so parses twice;
+    where blank documents do no harm, `blank_rejected` is the cheaper choice."""
     return parsed.where("reject_reason is null").drop("reject_reason", "value")
 
 
@@ -117,8 +119,8 @@ def place_fields(documents: DataFrame) -> DataFrame:
 
 
 def document_reviews(documents: DataFrame, *keep: str) -> DataFrame:
-    """Reviews of accepted documents, one row each: file, pos, user_name, text, time, rating,
-    rating_bucket, and the ``keep`` columns."""
+    """Reviews of documents, one row each: file, pos, user_name, text, time, rating,
+    rating_bucket, and the ``keep`` columns. Blank documents have none."""
     reviews = F.try_variant_get("doc", "$.reviews", "array<variant>")
     tall = flatten(documents.withColumn("reviews", reviews), keep=["file", *keep])
     r = F.col("review")

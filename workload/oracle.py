@@ -105,7 +105,7 @@ SELECT p_partkey, {_parse_rating('s')} AS rating FROM t""",
 SELECT l_orderkey, l_linenumber, CASE WHEN trunc(l_quantity / 8 - 0.5) BETWEEN 1 AND 5
     THEN CAST(trunc(l_quantity / 8 - 0.5) AS BIGINT) ELSE 0 END AS bucket FROM lineitem""",
     "slugify": f"""
-SELECT doc_id, regexp_replace(regexp_replace(lower(split_part(text, '.', 1)), '[^{AN}_{SPACE}-]', '', 'g'),
+SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^{AN}_{SPACE}-]', '', 'g'),
     '[{SPACE}-]+', '_', 'g') AS slug FROM documents""",
     "sanitize_key": f"""
 SELECT c_custkey, trim(regexp_replace(c_name || ' / Ñ-' || c_mktsegment || ': ', '[^{AN} _-]', '', 'g')) AS safe_name
@@ -198,7 +198,7 @@ cards AS (SELECT page_id, url, html, pos, {_shown("x")} AS text,
     CASE WHEN contains(x, '<b>') THEN len(regexp_extract_all(x, '<br>')) ELSE 0 END AS stars FROM paragraphs)"""
 _PAGE_PLACES = """page_places AS (SELECT page_id AS pos, 'Page #' || (page_id // 2) || '!' AS place_name, url AS gmaps_url,
     'Page ' || (page_id // 2) AS doc_key FROM pages),
-done AS (SELECT DISTINCT 'Page ' || (page_id // 2) AS doc_key FROM pages WHERE (page_id // 2) % 3 = 0),
+done AS (SELECT DISTINCT 'Page ' || (page_id // 2) AS doc_key FROM pages WHERE contains(url, '/de/')),
 todo AS (SELECT * FROM page_places p WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.doc_key = p.doc_key)),
 firsts AS (SELECT * FROM todo QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY pos) = 1)"""
 

@@ -24,7 +24,7 @@ from reviewloom.plans.collect import collect_documents
 from reviewloom.plans.curate import curate_documents, curate_reviews
 from reviewloom.session import shared_path
 from reviewloom.sources import sinks
-from reviewloom.sources.documents import accepted, document_reviews, parse_documents, place_fields, scan_documents
+from reviewloom.sources.documents import accepted, blank_rejected, document_reviews, parse_documents, place_fields, scan_documents
 from workload import adapters as a
 from workload.adapters import AS_OF, LINK, table
 
@@ -114,8 +114,7 @@ def rating_bucket(spark, sf_dir):
 
 @query
 def slugify(spark, sf_dir):
-    title = F.substring_index(F.col("text"), ".", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", fn.slugify(title).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.slugify(F.col("text")).alias("slug"))
 
 
 @query
@@ -377,7 +376,7 @@ def quarantine(spark, sf_dir):
 
 @query
 def flatten_documents(spark, sf_dir):
-    docs = accepted(parse_documents(a.place_documents(spark, sf_dir)))
+    docs = blank_rejected(parse_documents(a.place_documents(spark, sf_dir)))
     tall = document_reviews(docs)
     return tall.select("file", "pos", "user_name", "text", "time", F.col("rating").cast("bigint").alias("rating"))
 
@@ -403,7 +402,7 @@ def scan_written_documents(spark, sf_dir):
 def documents_json_roundtrip(spark, sf_dir):
     path = shared_path(spark, "documents")
     sinks.write_documents(_assembled(spark, sf_dir), path)
-    docs = accepted(parse_documents(scan_documents(spark, path, layout="line")))
+    docs = blank_rejected(parse_documents(scan_documents(spark, path, layout="line")))
     return document_reviews(docs).select("file", "pos", "user_name", F.col("rating").cast("bigint").alias("rating"), "text")
 
 
