@@ -9,11 +9,13 @@ _COMPLETE = "coalesce(place_name, '') <> '' and coalesce(gmaps_url, '') <> ''"
 
 
 def scan_places(spark: SparkSession, path: str) -> DataFrame:
-    """Places with ``pos``, which rises in file order. A missing path is an error."""
+    """Places with ``pos``, which orders them by file name and by place in the file. A missing
+    path is an error."""
+    row = F.monotonically_increasing_id().alias("row")
     return (
         spark.read.schema(PLACES_SCHEMA)
         .csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
-        .withColumn("pos", F.monotonically_increasing_id())
+        .withColumn("pos", F.struct(F.col("_metadata.file_name").alias("file_name"), row))
     )
 
 

@@ -1,4 +1,8 @@
-"""Writers, and staging of results that several steps use."""
+"""Writers, and staging of results that several steps use.
+
+Every writer looks whether there is anything to write before it touches the target. That look
+runs the plan up to its first row, so `stage` costly results first.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession

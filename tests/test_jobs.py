@@ -38,6 +38,13 @@ def test_places_csv_roundtrip(spark, tmp_path):
     assert csv_bytes(path).decode() == expected
 
 
+def test_places_keep_their_order_over_part_files(spark, tmp_path):
+    path = str(tmp_path / "places")
+    names = [f"place {i:03} {'x' * (i % 50)}" for i in range(100)]
+    sinks.write_places(places_of(spark, *[(n, "u") for n in names]).repartitionByRange(7, "pos"), path)
+    assert [r.place_name for r in scan_places(spark, path).orderBy("pos").collect()] == names
+
+
 def test_missing_places_file(spark, tmp_path):
     with pytest.raises(AnalysisException):
         scan_places(spark, str(tmp_path / "none"))
