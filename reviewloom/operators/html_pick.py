@@ -37,7 +37,8 @@ _HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|$)
 
 # Stand-ins for line breaks while text is put together: <br>, edge of a block, edge of a paragraph.
 _BR, _EDGE, _PARAGRAPH = "\x01", "\x02", "\x03"
-_GAP = re.compile(r"[ \t\n\r\f\x01\x02\x03]+")
+_SPACES = re.compile(r"[ \t\n\r\f]+")
+_BREAKS = re.compile(r" ?[\x01\x02\x03][ \x01\x02\x03]*")
 
 
 def _as_break(m: re.Match) -> str:
@@ -47,7 +48,7 @@ def _as_break(m: re.Match) -> str:
     return _PARAGRAPH if tag == "p" else _EDGE if tag in _BLOCK else ""
 
 
-def _as_gap(m: re.Match) -> str:
+def _as_newlines(m: re.Match) -> str:
     breaks = 0
     for c in m.group():
         if c == _BR:
@@ -56,7 +57,7 @@ def _as_gap(m: re.Match) -> str:
             breaks = max(breaks, 1)
         elif c == _PARAGRAPH:
             breaks = max(breaks, 2)
-    return "\n" * breaks or " "
+    return "\n" * breaks
 
 
 _OUT_ROWS = 256  # rows per output batch
@@ -220,7 +221,8 @@ class _Page:
         inner = self.html[slice(*self.content[i])]
         if "<" in inner:
             inner = _TAG.sub(_as_break, _HIDDEN.sub("", inner))
-        return unescape(_GAP.sub(_as_gap, inner).strip(" \n"))
+        shown = _BREAKS.sub(_as_newlines, _SPACES.sub(" ", inner))
+        return unescape(shown.strip(" \n"))
 
     def _matches(self, step: Css, i: int) -> bool:
         raw = self.raw_attrs[i]
