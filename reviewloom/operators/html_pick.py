@@ -19,18 +19,19 @@ from pyspark.sql import types as T
 # Fixed values of the HTML standard, as far as they matter here.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _RAW_TEXT = {t: re.compile(f"</{t}", re.I) for t in ("script", "style", "textarea", "title")}
-_BLOCK = {
+_BLOCK = frozenset({
     "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section",
     "table", "tr", "ul",
-}
+})
 
 _P_STOP = frozenset({"div", "li", "td", "article", "section", "body"})
 _LI_STOP = frozenset({"ul", "ol"})
 
 # A comment or a tag; quoted attribute values may hold ">", stray quotes are let pass.
+_ATTRS = r"""(?:[^<>"']*(?:"[^"]*"|'[^']*'))*[^<>"']*|[^<>]*"""
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/<>"']*)(?=[\s/<>"'])((?:[^<>"']*(?:"[^"]*"|'[^']*'))*[^<>"']*|[^<>]*)>|<[!?][^<>]*>""", re.S
+    rf"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/<>"']*)(?=[\s/<>"'])({_ATTRS})>|<[!?][^<>]*>""", re.S
 )
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|$)", re.S | re.I)
@@ -166,8 +167,9 @@ class _Page:
                 continue
             tag = name.lower()
             if slash:
+                # An inline end tag does not reach out of the block it stands in.
                 if tag not in _VOID:
-                    self._close(tag, m.start())
+                    self._close(tag, m.start(), stop=frozenset() if tag in _BLOCK else _BLOCK)
                 continue
             self._start(tag, attrs, m)
             if tag in _RAW_TEXT:
@@ -229,7 +231,7 @@ class _Page:
         if not step.classes and not step.attr:
             return True
         # Most elements fail here, before their attributes are taken apart.
-        if any(c not in raw for c in step.classes):
+        if any(c not in raw for c in step.classes) or step.attr not in raw.lower():
             return False
         return step.matches(self.attrs(i))
 

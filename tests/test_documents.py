@@ -14,7 +14,7 @@ INFO = {
     "category": "Pantai",
     "avg_rating": "4,5",
     "total_reviews_text": "1.234 ulasan",
-    "address": "Jl. X\nKarawang",
+    "address": "Jl. X\nBandung",
     "description": "",
     "attributes": "Parking: Free |  | - WC",
 }
@@ -84,7 +84,7 @@ def test_quarantine(spark, folder):
 def test_place_fields(spark, folder):
     rows = {stem(r.file): r for r in place_fields(accepted(parse_documents(scan_documents(spark, folder)))).collect()}
     good = rows["good"]
-    assert (good.place_name, good.place_address, good.place_attributes) == ("Pantai A", "Jl. X Karawang", "Parking: Free, WC")
+    assert (good.place_name, good.place_address, good.place_attributes) == ("Pantai A", "Jl. X Bandung", "Parking: Free, WC")
     assert (good.place_total_reviews_gmaps, good.place_avg_rating) == (1234, 4.5)
     none = rows["no_info"]
     assert (none.place_name, none.place_description, none.place_total_reviews_gmaps, none.place_avg_rating) == ("", "", 0, 0.0)

@@ -15,7 +15,7 @@ def card(text="bagus", user="Ann<br>Local guide", stars=4, time="2 hari lalu", i
     if user is not None:
         parts.append(f'<div class="d4r55 fontTitleMedium">{user}</div>')
     if stars is not None:
-        filled = '<span class="hCCjke google"></span>' * stars
+        filled = '<span class="hCCjke x"></span>' * stars
         parts.append(f'<div class="DU9Pgb"><span>{filled}</span><span class="empty"></span></div>')
     if time is not None:
         parts.append(f'<span class="rsqaWe">{time}</span>')
@@ -116,6 +116,7 @@ def test_rendered_text():
     assert text("<div><ul><li>a<li>b</ul></div>") == "a\nb"
     assert text("<div>&lt;b&gt; &copy;</div>") == "<b> ©"
     assert text("<div>") == ""
+    assert text("<b><div>a</b> b</div>") == "a b"
 
 
 def test_keys_of_other_types_pass_through(spark):

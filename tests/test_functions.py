@@ -131,7 +131,7 @@ def test_rating_bucket(apply):
 
 
 def test_slug_and_key(apply):
-    check(apply, fn.slugify, {"Tempat Wisata di Karawang": "tempat_wisata_di_karawang", "a--b _c! é": "a_b__c_é"})
+    check(apply, fn.slugify, {"Tempat Makan di Bandung": "tempat_makan_di_bandung", "a--b _c! é": "a_b__c_é"})
     check(apply, fn.sanitize_key, {"Pa:ntai_#1 Ñ-x": "Pantai_1 Ñ-x", " /: ": "", "水²½": "水²½"})
 
 

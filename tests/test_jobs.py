@@ -3,7 +3,6 @@ import json
 
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
 
 from reviewloom.operators.tables import FINAL_COLUMNS, project_order, run_counts, union_all, value_distribution
 from reviewloom.plans.collect import collect_documents
@@ -59,7 +58,8 @@ def test_incomplete_places(spark, tmp_path):
 
 def test_final_csv_has_mark_and_pandas_layout(spark, tmp_path):
     row = ("7c9", 5, 'bagus, "sekali"', "", "P", "", "c", "a, b", "", 12, 4.5)
-    schema = "user_id string, user_rating int, review_text string, review_time string, place_name string, place_description string, place_category string, place_attributes string, place_address string, place_total_reviews_gmaps bigint, place_avg_rating double"
+    types = {"user_rating": "int", "place_total_reviews_gmaps": "bigint", "place_avg_rating": "double"}
+    schema = ", ".join(f"{c} {types.get(c, 'string')}" for c in FINAL_COLUMNS)
     final = spark.createDataFrame([row, (*row[:1], None, *row[2:])], schema).coalesce(1)
     path = str(tmp_path / "final")
     assert sinks.write_final(final, path)
