@@ -8,6 +8,8 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.conftest import SF_DIR
 from tools.check import same
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not there")
 
@@ -21,10 +23,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = queries()[name](spark, SF_DIR).toPandas()
     assert same(got, duck.sql(oracle_sql()[name]).df()) == "ok"
