@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewloom.llm import mix_sources as mix
+from reviewloom.llm.language_id import language_id
 from reviewloom.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op4_mix_sources(spark, sf_dir):
+    return mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op4_mix_sources"] = mix.SQL % "documents"
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ not grow with the number of rows. Words are runs of bytes other than space and 0
 """
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -133,3 +134,72 @@ def shingles(hashes: np.ndarray, docs: np.ndarray, size: int = 5) -> Iterator[np
             yield every[a : b - size + 1]
         else:
             yield runs_hash(hashes[a:b], b - a) if b > a else every[:0]
+
+
+@dataclass
+class Chars:
+    first: int
+    codes: np.ndarray  # code points, lower case; 0 wherever no letter or mark stands, and around each row
+    starts: np.ndarray  # of letter runs
+    ends: np.ndarray
+    docs: np.ndarray  # n + 1 offsets of each row's letter runs
+    at: np.ndarray  # where each row begins in codes
+
+    @property
+    def n(self) -> int:
+        return len(self.docs) - 1
+
+
+_plane: dict[str, np.ndarray] = {}
+
+
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For code points below 65536: lower case, and 2 for a letter, 1 for a mark, else 0."""
+    if not _plane:
+        kind = [unicodedata.category(chr(i))[0] for i in range(1 << 16)]
+        _plane["lower"] = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(1 << 16)], dtype=np.uint32)
+        _plane["kind"] = np.array([2 if k == "L" else k == "M" for k in kind], dtype=np.uint8)
+    return _plane["lower"], _plane["kind"]
+
+
+def letter_runs(column: pa.Array, limit: int = SLAB) -> Iterator[Chars]:
+    """Rows as code points with their runs of letters (each with one letter at least), a few rows at a time."""
+    lower, kind = letters()
+    texts = [t or "" for t in column.to_pylist()]
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= limit):
+            size += len(texts[stop]) + 1
+            stop += 1
+        part = texts[start:stop]
+        codes = np.frombuffer(("\n" + "\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.cumsum([1] + [len(t) + 1 for t in part])
+        low = np.minimum(codes, 65535)
+        kinds = kind[low]
+        high = np.flatnonzero(codes > 65535)
+        if len(high):
+            kinds[high] = [2 if chr(c).isalpha() else 0 for c in codes[high].tolist()]
+        codes = np.where(kinds > 0, np.where(codes > 65535, codes, lower[low]), 0).astype(np.uint64)
+        inside = kinds > 0
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        if len(starts):
+            lettered = np.add.reduceat((kinds == 2).astype(np.int64), starts)  # marks between runs do not occur
+            starts, ends = starts[lettered > 0], ends[lettered > 0]
+        yield Chars(start, codes, starts, ends, np.searchsorted(starts, at), at)
+        start = stop
+
+
+def grams(codes: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the n code points from each place on, and whether they lie in one letter run with its two edges."""
+    size = len(codes)
+    out = np.full(size, n, dtype=np.uint64)
+    inner = np.ones(size, bool)
+    inner[max(0, size - n + 1) :] = False
+    for k in range(n):
+        out[: size - k] = out[: size - k] * _U(0x9FB21C651E98DF25) + codes[k:]
+        if 0 < k < n - 1:
+            inner[: size - k] &= codes[k:] > 0
+    out *= _U(0xD6E8FEB86659FD93)
+    return (out >> _U(64 - bits)).astype(np.int64), inner
