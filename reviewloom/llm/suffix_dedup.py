@@ -216,10 +216,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     keyed = _keyed(docs)
     long_enough = keyed.where(F.octet_length("text") >= length)
     anchors = stage(long_enough.select(*KEY, "text").mapInArrow(_anchors(length, gram), _ANCHORS), "anchors")
+    # Each sum is written before it is joined: a join over its own two exchanges is one whose hot keys Spark can split.
     buckets = anchors.groupBy("bucket").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("c > 1")
-    repeated = stage(
-        anchors.join(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("same")), "bucket"), "repeated"
-    )
+    buckets = stage(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("same")), "buckets")
+    repeated = stage(anchors.join(buckets, "bucket"), "repeated")
     apart = repeated.where("not same")
     kinds = stage(
         apart.groupBy("bucket", "whole").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "start", "n")).alias("at")), "kinds"
@@ -230,10 +230,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         for part in (repeated.where("same"), whole_again)
     ]
     per_bucket = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum((F.col("copies") == 1).cast("int")).alias("open"))
-    todo = kinds.join(per_bucket.where("open > 0").select("bucket", (F.col("kinds") > hot).alias("hot")), "bucket").select(
-        "bucket", "copies", "at.*", "hot"
-    )
-    todo = stage(todo, "open")
+    per_bucket = stage(per_bucket.where("open > 0").select("bucket", (F.col("kinds") > hot).alias("hot")), "per-bucket")
+    todo = stage(kinds.join(per_bucket, "bucket").select("bucket", "copies", "at.*", "hot"), "open")
 
     def bytes_of(part: DataFrame) -> DataFrame:
         lists = part.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "bucket", "copies")).alias("open"))
