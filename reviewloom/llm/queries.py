@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm import mix_sources as mix
 from reviewloom.llm.language_id import language_id
+from reviewloom.llm.minhash_dedup import minhash_dedup
 from reviewloom.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,8 @@ ORACLE["op4_mix_sources"] = mix.SQL % "documents"
 @query
 def op5_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
