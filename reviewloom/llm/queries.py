@@ -4,8 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewloom.llm import mix_sources as mix
+from reviewloom.llm.decontaminate import find_contamination
 from reviewloom.llm.language_id import language_id
 from reviewloom.llm.minhash_dedup import minhash_dedup
 from reviewloom.llm.suffix_dedup import suffix_dedup
@@ -44,3 +46,15 @@ def op5_language_id(spark, sf_dir):
 @query
 def op7_minhash_dedup(spark, sf_dir):
     return minhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"),
+        F.array_max(F.transform("hits", lambda h: h["similarity"])).alias("similarity"),
+    )
