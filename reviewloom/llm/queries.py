@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm import mix_sources as mix
 from reviewloom.llm.decontaminate import find_contamination
+from reviewloom.llm.html_text import extract_text
 from reviewloom.llm.language_id import language_id
 from reviewloom.llm.minhash_dedup import minhash_dedup
 from reviewloom.llm.suffix_dedup import suffix_dedup
+from reviewloom.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +60,13 @@ def op6_decontaminate(spark, sf_dir):
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"),
         F.array_max(F.transform("hits", lambda h: h["similarity"])).alias("similarity"),
     )
+
+
+@query
+def op2_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

@@ -154,17 +154,22 @@ _plane: dict[str, np.ndarray] = {}
 
 
 def letters() -> tuple[np.ndarray, np.ndarray]:
-    """For code points below 65536: lower case, and 2 for a letter, 1 for a mark, else 0."""
+    """For code points below 65536: lower case, and 3 for a number, 2 for a letter, 1 for a mark, else 0."""
     if not _plane:
         kind = [unicodedata.category(chr(i))[0] for i in range(1 << 16)]
         _plane["lower"] = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(1 << 16)], dtype=np.uint32)
-        _plane["kind"] = np.array([2 if k == "L" else k == "M" for k in kind], dtype=np.uint8)
+        _plane["kind"] = np.array([{"M": 1, "L": 2, "N": 3}.get(k, 0) for k in kind], dtype=np.uint8)
     return _plane["lower"], _plane["kind"]
 
 
-def letter_runs(column: pa.Array, limit: int = SLAB) -> Iterator[Chars]:
-    """Rows as code points with their runs of letters (each with one letter at least), a few rows at a time."""
+def letter_runs(column: pa.Array, limit: int = SLAB, numbers: bool = False) -> Iterator[Chars]:
+    """Rows as code points with their runs of letters (each with one letter at least), a few rows at a time.
+
+    With ``numbers``, runs of letters and numbers.
+    """
     lower, kind = letters()
+    if not numbers:
+        kind = np.where(kind == 3, 0, kind).astype(np.uint8)
     texts = [t or "" for t in column.to_pylist()]
     start = 0
     while start < len(texts):
@@ -185,7 +190,7 @@ def letter_runs(column: pa.Array, limit: int = SLAB) -> Iterator[Chars]:
         starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
         ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         if len(starts):
-            lettered = np.add.reduceat((kinds == 2).astype(np.int64), starts)  # marks between runs do not occur
+            lettered = np.add.reduceat((kinds >= 2).astype(np.int64), starts)  # marks between runs do not occur
             starts, ends = starts[lettered > 0], ends[lettered > 0]
         yield Chars(start, codes, starts, ends, np.searchsorted(starts, at), at)
         start = stop
