@@ -37,10 +37,11 @@ KEY = ["k1", "k2"]
 _ANCHORS = "k1 long, k2 long, start int, n int, bucket long, whole long"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carry=None) -> DataFrame:
+    """(carry, text, k1, k2): rows by doc_id and, where that is repeated or null, by text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2")
+    return docs.select((F.col("doc_id") if carry is None else carry).alias("carry"), F.col("doc_id").alias("id"), text.alias("text")).select(
+        "carry", "text", F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("id", "text").alias("k2")
     )
 
 
@@ -256,7 +257,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return out
 
 
-def _merge(spans: np.ndarray, size: int) -> np.ndarray:
+def _merge(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of sorted (start, end) pairs."""
     reach = np.maximum.accumulate(spans[:, 1])
     fresh = np.ones(len(spans), bool)
@@ -268,16 +269,17 @@ def _merge(spans: np.ndarray, size: int) -> np.ndarray:
 def _cut(whole_chars: bool):
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
+            names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
+            out: dict[str, list] = {x: [] for x in names}
             lists = batch.column("spans")
-            size = 0
+            size, first = 0, 0
             for i in range(len(batch)):
                 data = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
                 runs = np.zeros((0, 2), np.int64)
                 if lists[i].is_valid and len(lists[i].values):
                     flat = lists[i].values
                     spans = np.stack([flat.field("start").to_numpy(), flat.field("end").to_numpy()], axis=1).astype(np.int64)
-                    runs = _merge(spans[np.lexsort((spans[:, 1], spans[:, 0]))], len(data))
+                    runs = _merge(spans[np.lexsort((spans[:, 1], spans[:, 0]))])
                 if whole_chars and len(runs):
                     raw = np.frombuffer(data, np.uint8)
                     lead = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
@@ -288,40 +290,53 @@ def _cut(whole_chars: bool):
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                out["doc_id"].append(batch.column("doc_id")[i].as_py())
-                out["n_bytes"].append(len(data))
-                out["n_removed"].append(len(data) - len(rest))
-                out["n_spans"].append(len(runs))
-                out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
-                out["spans"].append([{"start": a, "end": b} for a, b in runs.tolist()])
-                out["kept"].append(rest)
+                row = (len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": b} for a, b in runs.tolist()], rest)
+                for name, value in zip(names, row):
+                    out[name].append(value)
                 size += len(rest)
                 if size > 1 << 23 or i + 1 == len(batch):
-                    yield pa.RecordBatch.from_pydict(out, schema=_CUT_SCHEMA.set(0, pa.field("doc_id", batch.schema.field("doc_id").type)))
-                    out, size = {x: [] for x in out}, 0
+                    carried = batch.column("carry").slice(first, i + 1 - first)
+                    yield pa.RecordBatch.from_arrays([carried] + [pa.array(out[f.name], f.type) for f in _CUT_SCHEMA], ["carry", *names])
+                    out, size, first = {x: [] for x in names}, 0, i + 1
 
     return run
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _CUT_SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPAN), ("kept", pa.binary())]
+    [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPAN), ("kept", pa.binary())]
 )
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, whole_chars: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs, byte
-    offsets) and kept (the remaining bytes).
-
-    ``whole_chars`` shrinks each run to whole characters, so that ``kept`` is valid UTF-8; all figures then follow it.
-    """
+def _cut_rows(docs: DataFrame, carry, length: int, gram: int, hot: int, whole_chars: bool) -> DataFrame:
     if not 0 < gram <= length:
         raise ValueError("gram must lie in 1 .. length")
     spans = repeated_spans(docs, length, gram, hot)
     lists = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = _keyed(docs).join(lists, KEY, "left").select("doc_id", "text", "spans")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = _keyed(docs, carry).join(lists, KEY, "left").select("carry", "text", "spans")
+    kind = rows.schema["carry"].dataType.simpleString()
     return rows.mapInArrow(
         _cut(whole_chars),
-        f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary",
+        f"carry {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary",
     )
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, whole_chars: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs, byte
+    offsets) and kept (the remaining bytes).
+
+    ``whole_chars`` shrinks each run to whole characters, so that ``kept`` is valid UTF-8; all figures then follow it.
+    """
+    return _cut_rows(docs, F.col("doc_id"), length, gram, hot, whole_chars).withColumnRenamed("carry", "doc_id")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with what repeats cut out of text (whole characters) and n_chars, if there, following it; null stays null."""
+    others = [c for c in docs.columns if c != "text"]
+    carry = F.struct(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("text").isNull().alias("none"))
+    out = _cut_rows(docs, carry, length, GRAM, HOT, True)
+    out = out.select("carry.row", F.when(~F.col("carry.none"), F.col("kept").cast("string")).alias("text"))
+    held = {c: F.col(f"row.`{c}`") for c in others} | {"text": F.col("text")}
+    if "n_chars" in held:
+        held["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(held[c].alias(c) for c in docs.columns))

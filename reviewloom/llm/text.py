@@ -202,7 +202,7 @@ def grams(codes: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]
     out = np.full(size, n, dtype=np.uint64)
     inner = np.ones(size, bool)
     inner[max(0, size - n + 1) :] = False
-    for k in range(n):
+    for k in range(min(n, size)):
         out[: size - k] = out[: size - k] * _U(0x9FB21C651E98DF25) + codes[k:]
         if 0 < k < n - 1:
             inner[: size - k] &= codes[k:] > 0

@@ -22,7 +22,7 @@ from reviewloom.llm.language_id import remainder
 from reviewloom.llm.text import grams, letter_runs
 
 BITS, ORDERS, WINDOW, DIMENSIONS = 17, (3, 4, 5), 6, 6
-SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, RATE, COMMON = 1500, 12 << 20, 3, 25, 0.1, 8
+SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, RATE, COMMON = 1500, 12 << 20, 3, 25, 0.1, 30
 
 
 def _word_grams(part) -> tuple[np.ndarray, np.ndarray]:
