@@ -10,6 +10,7 @@ from reviewloom.llm import chat_format as chat
 from reviewloom.llm import mix_sources as mix
 from reviewloom.llm import token_counts as tokens
 from reviewloom.llm.decontaminate import find_contamination
+from reviewloom.llm.embedding_dedup import embedding_dedup
 from reviewloom.llm.html_text import extract_text
 from reviewloom.llm.language_id import language_id
 from reviewloom.llm.minhash_dedup import minhash_dedup
@@ -107,3 +108,8 @@ def op10_token_counts(spark, sf_dir):
     ]:
         rollup.commit(batch, change)
     return rollup.totals()
+
+
+@query
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
