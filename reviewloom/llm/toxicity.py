@@ -22,7 +22,7 @@ from reviewloom.llm.language_id import remainder
 from reviewloom.llm.text import grams, letter_runs
 
 BITS, ORDERS, WINDOW, DIMENSIONS = 17, (3, 4, 5), 6, 6
-SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, RATE, COMMON = 1500, 12 << 20, 3, 25, 0.1, 30
+SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, RATE, COMMON = 1500, 12 << 20, 3, 25, 0.1, 0.02
 
 
 def _word_grams(part) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +124,9 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> t
     of_window = doc_of[fresh]
     bags = Bags(window, ids, int(window[-1]) + 1, len(known))
     r = np.random.default_rng(seed)
-    # N-grams of fewer than COMMON words of the sample stay at zero, like those never seen.
+    # N-grams in fewer words of the sample than COMMON times its toxic texts stay at zero, like those never seen.
     times = np.bincount(bucket, weights=np.bincount(ids, minlength=len(known))[word], minlength=len(used))
-    common = (times >= COMMON).astype(np.float32)[:, None]
+    common = (times >= max(2.0, COMMON * float(y.sum()))).astype(np.float32)[:, None]
     vectors = r.normal(0, 0.02, (len(used), DIMENSIONS)).astype(np.float32) * common
     heads = r.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
