@@ -176,7 +176,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
 
 
 def _predict(model: Model, penalty: float, spans: bool, columns: list[str]):
-    words_at_once = max(1, (1 << 23) // max(1, len(model.langs)))
+    words_at_once = max(1, (1 << 21) // max(1, len(model.langs)))
 
     def flush(batch, held):
         n = len(model.langs)

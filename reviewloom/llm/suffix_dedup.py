@@ -236,16 +236,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     def bytes_of(part: DataFrame) -> DataFrame:
         lists = part.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "bucket", "copies")).alias("open"))
-        texts = long_enough.select(*KEY, "text").join(lists, KEY)
-        return texts.mapInArrow(_stretches(length), "k1 long, k2 long, start int, bucket long, copies long, bytes binary").dropDuplicates(
-            [*KEY, "start"]
-        )
+        texts = long_enough.select(*KEY, "text").dropDuplicates(KEY).join(lists, KEY)  # one exchange of texts serves both
+        return texts.mapInArrow(_stretches(length), "k1 long, k2 long, start int, bucket long, copies long, bytes binary")
 
     small = bytes_of(todo.where("not hot")).repartition("bucket").sortWithinPartitions("bucket")
     found = [stage(small.mapInArrow(_refine(length), "k1 long, k2 long, start int, end int"), "refined")]
     if not todo.where("hot").isEmpty():
         rows = stage(bytes_of(todo.where("hot")).mapInArrow(_hot_windows(length), "k1 long, k2 long, start int, single boolean, id long"), "hot")
-        again = rows.groupBy("id").count().where("count > 1").select("id")
+        again = stage(rows.groupBy("id").count().where("count > 1").select("id"), "hot-again")
         found.append(
             rows.where("single").join(again, "id", "left_semi").select(*KEY, "start", (F.col("start") + length).cast("int").alias("end"))
         )

@@ -1,6 +1,6 @@
 """Array views of a text column: whole UTF-8 texts, words and five-word shingles of many rows at once.
 
-A batch is cut into slabs of about ``SLAB`` bytes (one long text may be a slab of its own), so memory per task does
+A batch is cut into slabs of about ``SLAB`` bytes (characters) (one long text may be a slab of its own), so memory per task does
 not grow with the number of rows. Words are runs of bytes other than space and 0x09-0x0D.
 """
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLAB = 1 << 20
+SLAB = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
@@ -34,7 +34,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
         steps = np.full(size, base & (2**64 - 1), dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 4 * SLAB:  # what one very long text needs is not kept
+        if size <= 16 * SLAB:  # what one very long text needs is not kept
             _powers[base] = have
     return have[:n]
 
@@ -170,30 +170,34 @@ def letter_runs(column: pa.Array, limit: int = SLAB, numbers: bool = False) -> I
     lower, kind = letters()
     if not numbers:
         kind = np.where(kind == 3, 0, kind).astype(np.uint8)
-    texts = [t or "" for t in column.to_pylist()]
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= limit):
-            size += len(texts[stop]) + 1
-            stop += 1
-        part = texts[start:stop]
-        codes = np.frombuffer(("\n" + "\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.cumsum([1] + [len(t) + 1 for t in part])
-        low = np.minimum(codes, 65535)
-        kinds = kind[low]
-        high = np.flatnonzero(codes > 65535)
-        if len(high):
-            kinds[high] = [2 if chr(c).isalpha() else 0 for c in codes[high].tolist()]
-        codes = np.where(kinds > 0, np.where(codes > 65535, codes, lower[low]), 0).astype(np.uint64)
-        inside = kinds > 0
-        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-        if len(starts):
-            lettered = np.add.reduceat((kinds >= 2).astype(np.int64), starts)  # marks between runs do not occur
-            starts, ends = starts[lettered > 0], ends[lettered > 0]
-        yield Chars(start, codes, starts, ends, np.searchsorted(starts, at), at)
-        start = stop
+    start, part = 0, []
+    for i in range(len(column) + 1):
+        text = (column[i].as_py() or "") if i < len(column) else ""
+        if part and (i == len(column) or size + len(text) > limit):
+            yield _letter_runs(part, start, lower, kind)
+            start, part = i, []
+        if not part:
+            size = 0
+        part.append(text)
+        size += len(text) + 1
+
+
+def _letter_runs(part: list[str], start: int, lower: np.ndarray, kind: np.ndarray) -> Chars:
+    codes = np.frombuffer(("\n" + "\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.cumsum([1] + [len(t) + 1 for t in part])
+    low = np.minimum(codes, 65535)
+    kinds = kind[low]
+    high = np.flatnonzero(codes > 65535)
+    if len(high):
+        kinds[high] = [2 if chr(c).isalpha() else 0 for c in codes[high].tolist()]
+    codes = np.where(kinds > 0, np.where(codes > 65535, codes, lower[low]), 0).astype(np.uint64)
+    inside = kinds > 0
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    if len(starts):
+        lettered = np.add.reduceat((kinds >= 2).astype(np.int64), starts)  # marks between runs do not occur
+        starts, ends = starts[lettered > 0], ends[lettered > 0]
+    return Chars(start, codes, starts, ends, np.searchsorted(starts, at), at)
 
 
 def grams(codes: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
