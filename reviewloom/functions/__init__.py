@@ -25,6 +25,7 @@ from reviewloom.functions.variants import (
     variant_kind,
     variant_rating,
     variant_rating_bucket,
+    variant_raw,
     variant_to_double,
     variant_to_text,
 )
@@ -52,6 +53,7 @@ __all__ = [
     "variant_kind",
     "variant_rating",
     "variant_rating_bucket",
+    "variant_raw",
     "variant_to_double",
     "variant_to_text",
 ]

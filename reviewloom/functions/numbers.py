@@ -35,9 +35,9 @@ def ascii_digits(c: Column) -> Column:
 
 
 def parse_int(c: Column) -> Column:
-    """All digits of the text put together as BIGINT; 0 for none, null, or more than BIGINT holds."""
-    digits = ascii_digits(F.regexp_replace(c, r"\P{Nd}+", ""))
-    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """All digits of the text put together as BIGINT; 0 for none or null, null for more than BIGINT holds."""
+    digits = F.coalesce(ascii_digits(F.regexp_replace(c, r"\P{Nd}+", "")), F.lit(""))
+    return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
 
 
 def decimal_comma(c: Column) -> Column:

@@ -61,7 +61,13 @@ def variant_rating_bucket(v: Column) -> Column:
 
 
 def variant_rating(v: Column) -> Column:
-    """Rating as INT for the final table: absent key gives 0, null stays null, fractions are cut,
-    values that are no number give 0."""
-    number = F.coalesce(_variant_number(v).try_cast("int"), F.lit(0))
-    return F.when(v.isNull(), 0).when(~F.is_variant_null(v), number)
+    """Rating as INT for the final table: absent key gives 0; null, fractions and whatever else is
+    no whole number of that size stay null. `variant_raw` has them as they are."""
+    number = _variant_number(v)
+    whole = F.when(number == F.floor(number), number.try_cast("int"))
+    return F.when(v.isNull(), 0).when(~F.is_variant_null(v), whole)
+
+
+def variant_raw(v: Column) -> Column:
+    """The value as text: a string as it is, anything else as JSON; null for null or an absent key."""
+    return F.when(~F.is_variant_null(v), F.coalesce(variant_to_text(v), F.to_json(v)))

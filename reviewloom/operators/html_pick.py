@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from html import unescape
@@ -89,7 +88,8 @@ class Css:
 @dataclass(frozen=True)
 class First:
     """Text (or attribute) of the first match; null for none. ``within`` narrows the search to
-    the first match of another selector. An empty ``path`` is the element itself."""
+    the first match of another selector. An empty ``path`` is the element itself. The text is
+    without that of further matches inside the match."""
 
     path: tuple[Css, ...] = ()
     attr: str = ""
@@ -100,7 +100,7 @@ class First:
 
 @dataclass(frozen=True)
 class All:
-    """Texts of all matches."""
+    """Texts of all matches; of a match that holds others, the text without theirs."""
 
     path: tuple[Css, ...]
     spark_type = T.ArrayType(T.StringType())
@@ -129,7 +129,8 @@ class Exists:
 
 @dataclass(frozen=True)
 class Each:
-    """Several picks inside every match, in page order."""
+    """Several picks inside every match, in page order. A match inside another with the same
+    values all over is left out, so that nesting does not multiply text."""
 
     path: tuple[Css, ...]
     picks: Mapping[str, First | Count] = field(default_factory=dict)
@@ -147,18 +148,25 @@ Pick = First | All | Count | Exists | Each
 
 
 class _Page:
-    """Elements of a page in page order: tag, raw attributes, where their content starts and ends,
-    and the end of their descendants. Attributes and text are read when a pick asks for them."""
+    """Elements of a page in page order: tag, raw attributes, where they and their content start and
+    end, and the end of their descendants. Attributes and text are read when a pick asks for them.
+
+    Each selector step is matched once per page; what lies inside an element is then found by
+    bisection, so the time of all picks together grows with the page, however it is nested.
+    """
 
     def __init__(self, html: str):
         self.html = html
         self.tags: list[str] = []
         self.raw_attrs: list[str] = []
+        self.begin: list[int] = []
         self.content: list[list[int]] = []
         self.end: list[int] = []
         self.by_tag: dict[str, list[int]] = {}
         self._open: list[int] = []
-        self._n_open: Counter[str] = Counter()
+        self._depths: dict[str, list[int]] = {}  # of each tag among the open elements
+        self._steps: dict[Css, list[int]] = {}
+        self._texts: dict[tuple[int, Css | None], str] = {}
         at = 0
         while m := _TAG.search(html, at):
             at = m.end()
@@ -186,31 +194,30 @@ class _Page:
         i = len(self.tags)
         self.tags.append(tag)
         self.raw_attrs.append(attrs)
+        self.begin.append(m.start())
         self.content.append([m.end(), m.end()])
         self.end.append(i + 1)
         self.by_tag.setdefault(tag, []).append(i)
         if tag not in _VOID:
+            self._depths.setdefault(tag, []).append(len(self._open))
             self._open.append(i)
-            self._n_open[tag] += 1
 
     def _close_top(self, at: int) -> None:
         i = self._open.pop()
-        self._n_open[self.tags[i]] -= 1
+        self._depths[self.tags[i]].pop()
         self.end[i] = len(self.tags)
         self.content[i][1] = at
 
     def _close(self, tag: str, at: int, stop: frozenset[str] = frozenset()) -> None:
         """Close the innermost open ``tag`` and what is open inside, unless ``stop`` is in between."""
-        if not self._n_open[tag]:
+        depths = self._depths.get(tag)
+        if not depths:
+            return
+        depth = depths[-1]
+        if any(d[-1] > depth for t in stop if (d := self._depths.get(t))):
             return
-        for depth in range(len(self._open) - 1, -1, -1):
-            open_tag = self.tags[self._open[depth]]
-            if open_tag == tag:
-                while len(self._open) > depth:
-                    self._close_top(at)
-                return
-            if open_tag in stop:
-                return
+        while len(self._open) > depth:
+            self._close_top(at)
 
     def attrs(self, i: int) -> dict[str, str]:
         found: dict[str, str] = {}
@@ -218,9 +225,15 @@ class _Page:
             found.setdefault(name.lower(), unescape(double or single or bare))
         return found
 
-    def text(self, i: int) -> str:
-        """Text much as a browser shows it: spaces squeezed, <br> and blocks as line breaks."""
-        inner = self.html[slice(*self.content[i])]
+    def text(self, i: int, without: list[int] = ()) -> str:
+        """Text much as a browser shows it: spaces squeezed, <br> and blocks as line breaks.
+        ``without``: elements inside whose text is left out, in page order."""
+        start, stop = self.content[i]
+        parts = []
+        for k in without:
+            parts += [self.html[start : self.begin[k]], "<div>"]
+            start = max(start, self.content[k][1])
+        inner = "".join([*parts, self.html[start:stop]])
         if "<" in inner:
             inner = _TAG.sub(_as_break, _HIDDEN.sub("", inner))
         shown = _BREAKS.sub(_as_newlines, _SPACES.sub(" ", inner))
@@ -235,46 +248,89 @@ class _Page:
             return False
         return step.matches(self.attrs(i))
 
-    def find(self, path: tuple[Css, ...], root: int | None = None) -> Iterator[int]:
-        """Elements below ``root`` matching a chain of descendant steps, in page order."""
-        if not path:
-            yield root
-            return
-        spans = [(0, len(self.tags)) if root is None else (root + 1, self.end[root])]
-        hits: list[int] = []
-        for step in path:
-            if step.tag:
-                own = self.by_tag.get(step.tag, [])
-                inside = {i for a, b in spans for i in own[bisect_left(own, a) : bisect_left(own, b)]}
-            else:
-                inside = {i for a, b in spans for i in range(a, b)}
-            hits = sorted(i for i in inside if self._matches(step, i))
-            spans = [(i + 1, self.end[i]) for i in hits]
-        yield from hits
-
-    def _scope(self, within: tuple[Css, ...], root: int | None) -> tuple[bool, int | None]:
-        if not within:
-            return True, root
-        hit = next(self.find(within, root), None)
-        return hit is not None, hit
+    def _step(self, step: Css) -> list[int]:
+        """All elements of the page that match a step, in page order."""
+        if step not in self._steps:
+            own = self.by_tag.get(step.tag, []) if step.tag else range(len(self.tags))
+            self._steps[step] = [i for i in own if self._matches(step, i)]
+        return self._steps[step]
+
+    def _outermost(self, hits: list[int]) -> list[int]:
+        """Of elements in page order, those that lie in no other of them."""
+        out: list[int] = []
+        for i in hits:
+            if not out or i >= self.end[out[-1]]:
+                out.append(i)
+        return out
+
+    def find(self, path: tuple[Css, ...], span: tuple[int, int]) -> list[int]:
+        """Elements in ``span`` matching a chain of descendant steps, in page order."""
+        spans, hits = [span], []
+        for n, step in enumerate(path):
+            if n:
+                spans = [(i + 1, self.end[i]) for i in self._outermost(hits)]
+            own = self._step(step)
+            hits = [i for a, b in spans for i in own[bisect_left(own, a) : bisect_left(own, b)]]
+        return hits
+
+    def first(self, path: tuple[Css, ...], span: tuple[int, int]) -> int | None:
+        if len(path) > 1:
+            return next(iter(self.find(path, span)), None)
+        own = self._step(path[0])
+        k = bisect_left(own, span[0])
+        return own[k] if k < len(own) and own[k] < span[1] else None
+
+    def _nested(self, hits: list[int]) -> dict[int, list[int]]:
+        """For each match, the outermost other matches inside it."""
+        inside: dict[int, list[int]] = {i: [] for i in hits}
+        above: list[int] = []
+        for i in hits:
+            while above and i >= self.end[above[-1]]:
+                above.pop()
+            if above:
+                inside[above[-1]].append(i)
+            above.append(i)
+        return inside
+
+    def _own_text(self, i: int, step: Css | None) -> str:
+        """Text of a match without that of the step's further matches inside it, made once."""
+        if (i, step) not in self._texts:
+            inner, own = [], self._step(step) if step else []
+            k = bisect_left(own, i + 1)
+            while k < len(own) and own[k] < self.end[i]:
+                inner.append(own[k])
+                k = bisect_left(own, self.end[own[k]], k)
+            self._texts[i, step] = self.text(i, inner)
+        return self._texts[i, step]
 
     def pick(self, p: Pick, root: int | None = None):
+        span = (0, len(self.tags)) if root is None else (root + 1, self.end[root])
         if isinstance(p, Exists):
-            hits = self.find(p.path, root)
-            return any(not p.texts or any(t in self.text(i) for t in p.texts) for i in hits)
+            hits = self.find(p.path, span)
+            return bool(hits) if not p.texts else any(t in x for x in map(self.text, self._outermost(hits)) for t in p.texts)
         if isinstance(p, All):
-            return [self.text(i) for i in self.find(p.path, root)]
+            return [self.text(i, inner) for i, inner in self._nested(self.find(p.path, span)).items()]
         if isinstance(p, Each):
-            return [{n: self.pick(q, i) for n, q in p.picks.items()} for i in self.find(p.path, root)]
-        inside, root = self._scope(p.within, root)
-        if not inside:
-            return None
+            values: dict[int, dict] = {}
+            around = self._nested(self.find(p.path, span))
+            outer = {k: i for i, inner in around.items() for k in inner}
+            for i in around:
+                values[i] = {n: self.pick(q, i) for n, q in p.picks.items()}
+            return [v for i, v in values.items() if i not in outer or v != values[outer[i]]]
+        if p.within:
+            root = self.first(p.within, span)
+            if root is None:
+                return None
+            span = root + 1, self.end[root]
         if isinstance(p, Count):
-            return sum(1 for _ in self.find(p.path, root))
-        hit = next(self.find(p.path, root), None)
+            if len(p.path) > 1:
+                return len(self.find(p.path, span))
+            own = self._step(p.path[0])
+            return bisect_left(own, span[1]) - bisect_left(own, span[0])
+        hit = self.first(p.path, span) if p.path else root
         if hit is None:
             return None
-        return self.attrs(hit).get(p.attr) if p.attr else self.text(hit)
+        return self.attrs(hit).get(p.attr) if p.attr else self._own_text(hit, p.path[-1] if p.path else None)
 
 
 def pick_elements(pages: DataFrame, picks: Mapping[str, Pick], *, html: str = "html") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.numbers import STARS
 from reviewloom.functions.text import clean_text
-from reviewloom.functions.variants import field, field_as_text, variant_rating, variant_rating_bucket
+from reviewloom.functions.variants import field, field_as_text, variant_rating, variant_rating_bucket, variant_raw
 from reviewloom.operators.sample import hash_key
 
 
@@ -25,6 +25,7 @@ def clean_reviews(documents: DataFrame) -> DataFrame:
             i.cast("bigint").alias("pos"),
             variant_rating_bucket(field(r, "rating")).alias("star"),
             variant_rating(field(r, "rating")).alias("rating"),
+            variant_raw(field(r, "rating")).alias("rating_raw"),
             clean_text(field_as_text(r, "time")).alias("time"),
         )
 

@@ -15,6 +15,7 @@ list needs its first ``cap`` rows only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ def choose_sample(
     seed: int | str = 42,
     splits: int = 256,
 ) -> DataFrame:
-    """The chosen rows as (group, id). ``id`` must be unique in its group, neither may be null."""
+    """The chosen rows as (group, id). ``id`` must be unique in its group; a null group is a group,
+    a null id an id."""
     core_cap = cap // len(STARS)
 
     def entry(slot: Column, purpose: str) -> Column:
@@ -67,7 +69,11 @@ def choose_sample(
         .withColumn("_split", F.spark_partition_id() % splits)
     )
     per_split = Window.partitionBy(group, "slot", "_split").orderBy("h", row_id)
-    survivors = entries.withColumn("_rn", F.row_number().over(per_split)).where(F.col("_rn") <= cap)
+    survivors = (
+        entries.withColumn("_rn", F.row_number().over(per_split))
+        .where(F.col("_rn") <= cap)
+        .where((F.col("slot") == _ANY) | (F.col("_rn") <= core_cap))
+    )
 
     # One exchange by group serves all that follows.
     per_list = Window.partitionBy(group, "slot").orderBy("h", row_id)
@@ -91,12 +97,14 @@ def choose_sample(
 
 
 def fetch(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose ``keys`` occur in ``chosen``.
+    """Rows of ``df`` whose ``keys``, null included, occur in ``chosen``.
 
-    ``chosen`` is narrow, so its share of a partition is hashed and the wide rows stream
-    past unsorted.
+    ``chosen`` is narrow and small beside ``df``: Spark broadcasts it where its size allows, and
+    then no wide row is shuffled.
     """
-    return df.join(chosen.hint("shuffle_hash"), list(keys), "left_semi")
+    other = chosen.select(*(F.col(k).alias(f"_chosen_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_chosen_{k}")) for k in keys]
+    return df.join(other, reduce(lambda a, b: a & b, same), "left_semi")
 
 
 def stratified_sample(
@@ -119,7 +127,14 @@ def with_shuffle_rank(df: DataFrame, *ids: str, seed: int | str = 42) -> DataFra
     return df.withColumn("shuffle_rank", hash_key(seed, "order", *ids))
 
 
-def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows of every group, cut on the map side before the shuffle."""
+def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, *, splits: int = 256) -> DataFrame:
+    """First ``n`` rows of every group. Up to Spark's limit for it (1000 rows) map tasks cut what
+    they send; beyond, a group is first cut in ``splits`` parts, so that no task gets it whole."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:
+        # By the order's own columns: the same for any partitioning, and ties do not matter.
+        part = df.withColumn("_split", F.pmod(F.xxhash64(*order), F.lit(splits)))
+        w = Window.partitionBy(*group, "_split").orderBy(*order)
+        df = part.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn", "_split")
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

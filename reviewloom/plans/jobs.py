@@ -1,38 +1,54 @@
 """The three jobs end to end: list places, collect documents, curate reviews."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from reviewloom.operators.assemble import with_doc_key
+from reviewloom.operators.extract import CARD_CAP
 from reviewloom.operators.tables import preview, value_distribution
-from reviewloom.plans.collect import collect_documents, list_places
-from reviewloom.plans.curate import SAMPLE_CAP, curate_documents
+from reviewloom.plans.collect import collect_documents, list_places, places_to_do
+from reviewloom.plans.curate import SAMPLE_CAP, final_rows, sampled_documents
 from reviewloom.sources import sinks
-from reviewloom.sources.documents import parse_documents, rejected, scan_documents
-from reviewloom.sources.places import scan_places
+from reviewloom.sources.documents import rejected, scan_documents
+from reviewloom.sources.places import complete_places, incomplete_places, scan_places
+
+_DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """What a job did: whether it wrote anything, how many rows, and a small table to look at."""
+    """What a job did: whether it wrote anything, how many rows, a small table to look at, and its
+    counts by name."""
 
     written: bool
     n_rows: int
     report: DataFrame
+    counts: dict[str, int] = field(default_factory=dict)
 
 
 def list_job(spark: SparkSession, pages_path: str, places_path: str) -> Outcome:
-    """Listing pages (Parquet: url, html) to a places CSV; the report is its first five rows."""
-    places = sinks.stage(list_places(spark.read.parquet(pages_path).select("url", "html")), "places")
-    written = sinks.write_places(places, places_path)
-    return Outcome(written, places.count(), preview(places.drop("pos"), "url", "place_name"))
+    """Listing pages (Parquet: url, html) to a places CSV in the order of page and place on it; the
+    report is its first five rows."""
+    pages = spark.read.parquet(pages_path).select("url", "html")
+    places = sinks.stage(list_places(pages), "places")
+    written = sinks.write_places(places, places_path, order=["url", "pos"])
+    n = places.count()
+    return Outcome(written, n, preview(places, "url", "pos").drop("url", "pos"), {"pages": pages.count(), "places": n})
 
 
-def collect_job(spark: SparkSession, places_path: str, pages_path: str, documents_path: str) -> Outcome:
-    """Places CSV and stored pages to documents, added to those already there."""
+def collect_job(
+    spark: SparkSession, places_path: str, pages_path: str, documents_path: str, *, card_cap: int = CARD_CAP,
+    newest: str | None = None, unusable_path: str | None = None,
+) -> Outcome:
+    """Places CSV and stored pages to documents, added to those already there. Places without a
+    name, a URL or a key go to ``unusable_path`` with the reason, and are counted in any case."""
     try:
         done = sinks.written_keys(spark, documents_path)
     except AnalysisException as e:
@@ -40,10 +56,33 @@ def collect_job(spark: SparkSession, places_path: str, pages_path: str, document
             raise
         done = None
     pages = spark.read.parquet(pages_path)
-    documents = sinks.stage(collect_documents(scan_places(spark, places_path), pages, done), "documents")
+    places = scan_places(spark, places_path)
+    no_key = with_doc_key(complete_places(places)).where("doc_key = ''").withColumn("reason", F.lit("no_key")).drop("doc_key")
+    unusable = sinks.stage(incomplete_places(places).withColumn("reason", F.lit("incomplete")).unionByName(no_key).drop("pos"), "unusable")
+    if unusable_path:
+        unusable.write.mode("overwrite").parquet(unusable_path)
+    documents = sinks.stage(collect_documents(places, pages, done, card_cap=card_cap, newest=newest), "documents")
     written = sinks.write_documents(documents, documents_path)
-    counts = documents.selectExpr("doc_key", "size(reviews) as n_reviews")
-    return Outcome(written, documents.count(), counts)
+    if written:
+        sinks.write_keys(documents, documents_path)
+    sizes = documents.selectExpr("doc_key", "size(reviews) as n_reviews")
+    n, reviews = documents.agg(F.count("*"), F.coalesce(F.sum(F.size("reviews")), F.lit(0))).first()
+    counts = {
+        "places": places.count(), "unusable_places": unusable.count(), "places_to_do": places_to_do(places, done).select("doc_key").distinct().count(),
+        "documents": n, "reviews": reviews,
+    }
+    return Outcome(written, n, sizes, counts)
+
+
+@contextmanager
+def _duplicate_keys_allowed(spark: SparkSession) -> Iterator[None]:
+    """A key given twice is no error: its last value counts."""
+    before = spark.conf.get(_DUPLICATE_KEYS)
+    spark.conf.set(_DUPLICATE_KEYS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DUPLICATE_KEYS, before)
 
 
 def curate_job(
@@ -51,16 +90,27 @@ def curate_job(
     documents_path: str,
     final_path: str,
     *,
-    layout: str = "file",
+    layout: str = "auto",
     as_of: Column | datetime | date | str | None = None,
     cap: int = SAMPLE_CAP,
     seed: int | str = 42,
     rejects_path: str | None = None,
+    raw_rating: bool = False,
 ) -> Outcome:
-    """Documents to the final CSV; the report is the rating distribution."""
+    """Documents to the final CSV; the report is the rating distribution, the counts hold documents,
+    reviews, places in the result, and rejected documents by reason.
+
+    Documents are parsed once; samples and rejects both come from the staged result.
+    """
     raw = scan_documents(spark, documents_path, layout=layout)
+    with _duplicate_keys_allowed(spark):
+        sampled = sinks.stage(sampled_documents(raw, cap=cap, seed=seed), "sampled")
     if rejects_path:
-        rejected(parse_documents(raw)).write.mode("overwrite").parquet(rejects_path)
-    final = sinks.stage(curate_documents(raw, as_of=as_of, cap=cap, seed=seed), "final")
+        rejected(sampled).write.mode("overwrite").parquet(rejects_path)
+    final = sinks.stage(final_rows(sampled, as_of, raw_rating=raw_rating), "final")
     written = sinks.write_final(final, final_path)
-    return Outcome(written, final.count(), value_distribution(final, "user_rating"))
+    reasons = {f"rejected_{r['reject_reason']}": r["count"] for r in rejected(sampled).groupBy("reject_reason").count().collect()}
+    documents, reviews = sampled.agg(F.count("*"), F.coalesce(F.sum("n_reviews"), F.lit(0))).first()
+    counts = {"documents": documents, "reviews": reviews, "rejected": sum(reasons.values()), **reasons}
+    counts["places"] = sampled.where(F.size("reviews") > 0).count()
+    return Outcome(written, final.count(), value_distribution(final, "user_rating"), counts)

@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "reviewloom") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "reviewloom", **conf: str) -> SparkSession:
     """Session for tests and the bench. On a cluster, bring your own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,19 +19,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rev
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix=f"{app}-"))
     )
+    return builder.config(map=conf).getOrCreate()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session may lack that setting; it then gets a temporary folder of its own.
+    Only a local-mode session may lack that setting; its intermediates then lie in a folder named
+    after the application below the machine's temporary one.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="reviewloom-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        root = f"{tempfile.gettempdir()}/reviewloom-{spark.conf.get('spark.app.id')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -12,36 +12,53 @@ from reviewloom.functions.variants import (
     variant_kind,
     variant_rating,
     variant_rating_bucket,
+    variant_raw,
     variant_to_double,
     variant_to_text,
 )
 from reviewloom.operators.tables import flatten
 
-# Python's json module strips these around a value.
-_JSON_SPACE = " \t\n\r"
+
+#: Names that Spark gives to the files it writes.
+_PART_FILE = r"^part-\d{5}-"
+#: Longest text value that Spark's JSON parser takes; VARIANT's own limit is higher.
+LONGEST_TEXT = 20_000_000
 
 
 def scan_documents(
-    spark: SparkSession, path: str, *, layout: str = "file", pattern: str = "*.json"
+    spark: SparkSession, path: str, *, layout: str = "auto", pattern: str = "*.json"
 ) -> DataFrame:
     """Read documents as (file, modified, value).
 
     ``layout="file"``: one document per file, the file being its group. ``layout="line"``: one
-    document per line as `sinks.write_documents` leaves them, grouped by their ``doc_key``, or by
-    the digest of the line if there is none. Spark hides files whose names start with ``_`` or ``.``.
+    document per line as `sinks.write_documents` leaves them, grouped by their ``doc_key``; a line
+    without one is a group of its own. The default
+    takes Spark's part files by line and all others by file, so both kinds may lie in one folder.
+    Spark hides files whose names start with ``_`` or ``.``.
     """
+    if layout not in ("auto", "file", "line"):
+        raise ValueError(f"unknown layout: {layout}")
+    return document_rows(spark.read, path, layout, pattern)
+
+
+def document_rows(reader, path: str, layout: str, pattern: str) -> DataFrame:
+    """`scan_documents` with the reader of a batch or of a stream."""
     modified = F.col("_metadata.file_modification_time").alias("modified")
+    name, full = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    part = F.regexp_like(name, F.lit(_PART_FILE))
+    files = reader.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    lines = reader.option("pathGlobFilter", pattern).text(path)
+    alone = F.concat_ws("#", F.sha2("value", 256), name, F.monotonically_increasing_id())
+    by_line = F.coalesce(F.get_json_object("value", "$.doc_key"), alone)
     if layout == "file":
-        return (
-            spark.read.option("pathGlobFilter", pattern)
-            .text(path, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("file"), modified, "value")
-        )
+        return files.select(full.alias("file"), modified, "value")
     if layout == "line":
-        lines = spark.read.option("pathGlobFilter", pattern).text(path)
-        key = F.get_json_object("value", "$.doc_key")
-        return lines.select(F.coalesce(key, F.sha2("value", 256)).alias("file"), modified, "value")
-    raise ValueError(f"unknown layout: {layout}")
+        return lines.where("trim(value) <> ''").select(by_line.alias("file"), modified, "value")
+    return (
+        files.where(~part)
+        .select(full.alias("file"), modified, "value")
+        .union(lines.where(part & (F.trim("value") != "")).select(by_line.alias("file"), modified, "value"))
+    )
 
 
 def parse_documents(raw: DataFrame) -> DataFrame:
@@ -49,11 +66,14 @@ def parse_documents(raw: DataFrame) -> DataFrame:
 
     A document with any malformed part is rejected whole.
     """
-    trimmed = F.trim(F.col("value"), F.lit(_JSON_SPACE))
-    # The parser stops after the first value; wrapped in an array, text after it shows.
-    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    # The parser stops after the first value. In an array that goes on with the text's own digest,
+    # which no text can hold, the document is all there was if the digest comes second and last.
+    digest = F.sha2("value", 256)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(',"'), digest, F.lit('"]')))
     parsed = raw.withColumn("_wrapped", F.when(F.is_valid_utf8("value"), wrapped))
     parsed = parsed.withColumn("doc", F.try_variant_get("_wrapped", "$[0]", "variant"))
+    whole = F.try_variant_get("_wrapped", "$[1]", "string").eqNullSafe(digest)
+    beyond = F.try_variant_get("_wrapped", "$[2]", "variant").isNotNull()
 
     kind = variant_kind(F.col("doc"))
     info, reviews = field(F.col("doc"), "place_info"), field(F.col("doc"), "reviews")
@@ -66,10 +86,9 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     is_object = F.startswith(kind, F.lit("OBJECT"))
     reason = (
         F.when(~F.is_valid_utf8("value"), "invalid_utf8")
-        .when(F.col("doc").isNull(), "malformed_json")
+        .when(F.col("doc").isNull() & (F.octet_length("value") > LONGEST_TEXT), "too_large_or_malformed")
+        .when(F.col("doc").isNull() | ~whole | beyond, "malformed_json")
         .when(~is_object, "not_an_object")
-        .when(~F.endswith(trimmed, F.lit("}")), "malformed_json")
-        .when(F.try_variant_get("_wrapped", "$[1]", "variant").isNotNull(), "malformed_json")
         .when(info.isNotNull() & ~F.startswith(variant_kind(info), F.lit("OBJECT")), "place_info_not_object")
         .when(reviews.isNull() | empty, None)
         .when(~F.startswith(reviews_kind, F.lit("ARRAY")), "reviews_not_array")
@@ -84,10 +103,10 @@ def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where("reject_reason is null").drop("reject_reason", "value")
 
 
-def blank_rejected(parsed: DataFrame) -> DataFrame:
+def blank_rejected(parsed: DataFrame, *, keep_reason: bool = False) -> DataFrame:
     """All documents, with ``doc`` null for the rejected ones."""
     usable = F.when(F.col("reject_reason").isNull(), F.col("doc"))
-    return parsed.withColumn("doc", usable).drop("reject_reason", "value")
+    return parsed.withColumn("doc", usable).drop("value", *([] if keep_reason else ["reject_reason"]))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
@@ -119,7 +138,7 @@ def place_fields(documents: DataFrame) -> DataFrame:
 
 
 def document_reviews(documents: DataFrame, *keep: str) -> DataFrame:
-    """Reviews of documents, one row each: file, pos, user_name, text, time, rating,
+    """Reviews of documents, one row each: file, pos, user_name, text, time, rating, rating_raw,
     rating_bucket, and the ``keep`` columns. Blank documents have none."""
     reviews = F.try_variant_get("doc", "$.reviews", "array<variant>")
     tall = flatten(documents.withColumn("reviews", reviews), keep=["file", *keep])
@@ -131,6 +150,7 @@ def document_reviews(documents: DataFrame, *keep: str) -> DataFrame:
         field_as_text(r, "text").alias("text"),
         field_as_text(r, "time").alias("time"),
         variant_rating(field(r, "rating")).alias("rating"),
+        variant_raw(field(r, "rating")).alias("rating_raw"),
         variant_rating_bucket(field(r, "rating")).alias("rating_bucket"),
         *keep,
     )

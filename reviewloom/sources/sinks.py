@@ -5,12 +5,14 @@ runs the plan up to its first row, so `stage` costly results first.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators.tables import project_order
+from reviewloom.operators.tables import FINAL_COLUMNS, project_order
 from reviewloom.session import shared_path
-from reviewloom.sources.places import PLACES_SCHEMA
 
 _BOM = "\ufeff"
 _CSV = {
@@ -35,10 +37,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_places(places: DataFrame, path: str, *, mode: str = "overwrite") -> bool:
-    """places list as CSV; False, and nothing touched, if there are none."""
+def write_places(places: DataFrame, path: str, *, mode: str = "overwrite", order: Sequence[str] = ()) -> bool:
+    """places list as CSV; False, and nothing touched, if there are none. With ``order`` the part
+    files and their rows follow it, and `scan_places` gives positions in that order."""
     if places.isEmpty():
         return False
+    if order:
+        places = places.repartitionByRange(*order).sortWithinPartitions(*order)
     places.select("place_name", "gmaps_url").write.options(**_CSV).mode(mode).csv(path)
     return True
 
@@ -51,17 +56,29 @@ def write_documents(documents: DataFrame, path: str, *, mode: str = "append") ->
     return True
 
 
-def written_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of the documents `write_documents` has left under ``path``."""
+def write_keys(documents: DataFrame, path: str, *, mode: str = "append") -> None:
+    """The keys of documents just written, as a narrow table beside them."""
+    documents.select("doc_key").write.mode(mode).parquet(f"{path.rstrip('/')}.keys")
+
+
+def written_keys(spark: SparkSession, path: str, *, rebuild: bool = False) -> DataFrame:
+    """Keys of the documents `write_documents` has left under ``path``: from the table of keys, or
+    by reading all documents where that is not there or ``rebuild`` is asked for."""
+    if not rebuild:
+        try:
+            return spark.read.schema("doc_key string").parquet(f"{path.rstrip('/')}.keys")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.read.schema("doc_key string").json(path)
 
 
 def write_final(final: DataFrame, path: str, *, mode: str = "overwrite") -> bool:
     """Final table as CSV with a byte order mark, so that spreadsheets read it as UTF-8. Every
-    part file has its header and its mark."""
+    part file has its header and its mark. ``user_rating_raw`` comes last if it is there."""
     if final.isEmpty():
         return False
-    ordered = project_order(final)
+    ordered = project_order(final, [*FINAL_COLUMNS, "user_rating_raw"])
     first = ordered.columns[0]
     ordered.withColumnRenamed(first, _BOM + first).write.options(**_CSV).mode(mode).csv(path)
     return True
@@ -74,8 +91,3 @@ def read_final(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select(
         *[F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
     )
-
-
-def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """Read `write_places` output back, columns only."""
-    return spark.read.schema(PLACES_SCHEMA).csv(path, header=True, multiLine=True, escape='"')

@@ -8,10 +8,10 @@ from __future__ import annotations
 from datetime import date, datetime
 
 from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewloom.plans.curate import SAMPLE_CAP, curate_documents
+from reviewloom.sources.documents import document_rows
 
 
 def curate_new_documents(
@@ -20,25 +20,19 @@ def curate_new_documents(
     final_path: str,
     checkpoint_path: str,
     *,
+    layout: str = "file",
     pattern: str = "*.json",
     as_of: Column | datetime | date | str | None = None,
     cap: int = SAMPLE_CAP,
     seed: int | str = 42,
     max_files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Process all files not seen before (one document each), append the rows to the Parquet
-    table ``final_path``, and stop."""
-    raw = (
-        spark.readStream.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files_per_batch)
-        .text(documents_path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-            "value",
-        )
-    )
+    """Process all files not seen before, append the rows to the Parquet table ``final_path``, and
+    stop. ``layout="line"`` takes what `sinks.write_documents` writes."""
+    if layout not in ("file", "line"):
+        raise ValueError(f"a stream reads files or lines, not: {layout}")
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_batch)
+    raw = document_rows(reader, documents_path, layout, pattern)
     final = curate_documents(raw, as_of=as_of, cap=cap, seed=seed)
     return (
         final.writeStream.format("parquet")

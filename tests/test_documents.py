@@ -36,6 +36,9 @@ CASES = {
     "trailing": (GOOD + " x", "malformed_json", 0),
     "trailing2": (GOOD + " x}", "malformed_json", 0),
     "two": (GOOD + "," + GOOD, "malformed_json", 0),
+    "passed_once": (GOOD + "] x}", "malformed_json", 0),
+    "passed_once2": (GOOD + "]}", "malformed_json", 0),
+    "sentinel": (GOOD + ',"' + "0" * 64, "malformed_json", 0),
     "blank": (" \n", "malformed_json", 0),
     "array": ("[1]", "not_an_object", 0),
     "scalar": ("3", "not_an_object", 0),

@@ -2,7 +2,7 @@ import time
 
 import pytest
 
-from reviewloom.operators.extract import picked_links, place_pages
+from reviewloom.operators.extract import PLACE_PICKS, picked_links, place_pages
 from reviewloom.operators.html_pick import All, Css, First, _Page, pick_elements
 
 LISTING = """<div role="feed"><a class="x hfpxzc" aria-label="Pantai &amp; Co" href="https://m/1"></a>
@@ -107,7 +107,7 @@ def test_nested_cards_are_all_read(spark):
 def test_rendered_text():
     def text(html):
         page = _Page(html)
-        return page.text(next(page.find((Css("div"),))))
+        return page.text(page.find((Css("div"),), (0, len(page.tags)))[0])
 
     assert text("<div> a <b>b</b>c\n d </div>") == "a bc d"
     assert text("<div>a<br>b<script>x</script></div>") == "a\nb"
@@ -142,4 +142,33 @@ def test_broken_markup_costs_no_more_per_byte(junk):
 def test_attributes():
     page = _Page("""<a title="x > y" data-n='1 "2"' HREF=/p?a=1&amp;b=2 disabled>t</a><A class="c  d">u</A>""")
     assert page.attrs(0) == {"title": "x > y", "data-n": '1 "2"', "href": "/p?a=1&b=2", "disabled": ""}
-    assert [page.text(i) for i in page.find((Css("a", ("d", "c")),))] == ["u"]
+    assert [page.text(i) for i in page.find((Css("a", ("d", "c")),), (0, len(page.tags)))] == ["u"]
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: '<div data-review-id="1"><span class="wiI7pd">x</span>' * n,
+        lambda n: '<div data-review-id="1"><span class="wiI7pd">x' * n,
+        lambda n: '<ul class="ZQ6we"><li class="hpLkke">x' * n,
+        lambda n: '<div class="Gpq6kf NlVald">About ' * n,
+        lambda n: '<div class="fontBodyMedium dmRWX"><span aria-hidden="true">4</span>' * n,
+        lambda n: "<p><td>" + "<b>" * n + "<ul>" * n,
+    ],
+)
+def test_picks_take_linear_time(make):
+    def took(n):
+        start = time.perf_counter()
+        page = _Page(make(n))
+        for p in PLACE_PICKS.values():
+            page.pick(p)
+        return time.perf_counter() - start
+
+    assert min(took(8000) for _ in range(2)) < 12 * min(took(1000) for _ in range(2)) + 0.2
+
+
+def test_nested_cards():
+    inner = '<div data-review-id="1"><span class="d4r55 fontTitleMedium">Ann</span><span class="wiI7pd">good</span></div>'
+    page = _Page(f'<div data-review-id="1">{inner}</div><div data-review-id="2"><span class="wiI7pd">so <span class="wiI7pd">bad</span></span></div>')
+    cards = page.pick(PLACE_PICKS["cards"])
+    assert [(c["user"], c["text"]) for c in cards] == [("Ann", "good"), (None, "so")]

@@ -102,7 +102,7 @@ def test_parse_int(apply):
     check(
         apply,
         fn.parse_int,
-        {"1.234 ulasan": 1234, "ulasan": 0, None: 0, "4,5 dari 1.234": 451234, "": 0, "٣4": 34, "9" * 30: 0},
+        {"1.234 ulasan": 1234, "ulasan": 0, None: 0, "4,5 dari 1.234": 451234, "": 0, "٣4": 34, "9" * 30: None},
     )
 
 
@@ -150,8 +150,9 @@ def test_variant_fields(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "i int, j string").orderBy("i").select(F.parse_json("j").alias("v"))
     v = F.col("v")
     r = fn.field(v, "r")
-    rows = df.select(fn.variant_rating_bucket(r), fn.variant_rating(r), fn.field_as_text(v, "r", "none"), fn.has_field(v, "r")).collect()
+    rows = df.select(fn.variant_rating_bucket(r), fn.variant_rating(r), fn.field_as_text(v, "r", "none"), fn.has_field(v, "r"), fn.variant_raw(r)).collect()
     assert [x[0] for x in rows] == [5, 5, 4, 0, 0, 1, 0, 0, 1, 3]
-    assert [x[1] for x in rows] == [5, 5, 4, 0, None, 1, 0, 0, 1, 3]
+    assert [x[1] for x in rows] == [5, 5, None, None, None, 1, 0, None, 1, 3]
     assert [x[2] for x in rows] == [None, "5", None, "4.5", None, None, "none", None, None, " 3 "]
     assert [x[3] for x in rows] == [True] * 6 + [False] + [True] * 3
+    assert [x[4] for x in rows] == ["5", "5", "4.7", "4.5", None, "true", None, "[1]", "1.0", " 3 "]

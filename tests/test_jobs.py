@@ -109,14 +109,67 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert line["doc_key"] == "Pantai  Co" and len(line["reviews"]) == 3
     assert "Pantai & Co" in csv_bytes(docs).decode()
 
+    assert collected.counts == {"places": 2, "unusable_places": 0, "places_to_do": 2, "documents": 1, "reviews": 3}
+    assert [r.doc_key for r in sinks.written_keys(spark, docs).collect()] == [r.doc_key for r in sinks.written_keys(spark, docs, rebuild=True).collect()]
+
     rejects = str(tmp_path / "rejects")
-    out = curate_job(spark, docs, final, layout="line", as_of=AS_OF, rejects_path=rejects)
+    out = curate_job(spark, docs, final, as_of=AS_OF, rejects_path=rejects)
+    assert out.counts == {"documents": 1, "reviews": 3, "rejected": 0, "places": 1}
     assert (out.written, out.n_rows) == (True, 2)
     assert [tuple(r) for r in out.report.collect()] == [(2, 1), (4, 1)]
     assert spark.read.parquet(rejects).count() == 0
     assert csv_bytes(final).startswith("\ufeffuser_id,".encode())
 
 
+def test_both_layouts_in_one_folder_and_rejects_counted(spark, tmp_path):
+    docs, review = tmp_path / "docs", {"user_name": "Ann", "text": "bagus", "rating": 4.5, "time": "1 hari lalu"}
+    lines = [json.dumps({"doc_key": f"k{i}", "reviews": [review]}) for i in range(20)]
+    spark.createDataFrame([(x,) for x in [*lines, "{", ""]], "value string").coalesce(1).write.text(str(docs))
+    for f in docs.glob("part-*.txt"):
+        f.rename(str(f).replace(".txt", ".json"))
+    (docs / "single.json").write_text(json.dumps({"reviews": [review, {**review, "rating": 9999999999, "text": "x"}]}, indent=2))
+    (docs / "twice.json").write_text('{"reviews": [], "reviews": [{"text": "last"}]}')
+    (docs / "bad.json").write_text("{}]")
+    out = curate_job(spark, str(docs), str(tmp_path / "final"), as_of=AS_OF, raw_rating=True)
+    assert out.n_rows == 23 and out.counts == {"documents": 24, "reviews": 23, "rejected": 2, "rejected_malformed_json": 2, "places": 22}
+    rows = spark.read.csv(str(tmp_path / "final"), header=True)
+    assert {r.user_rating_raw for r in rows.collect()} == {"4.5", "9999999999", None} and rows.where("user_rating = '0'").count() == 1
+
+
+def test_listing_order_is_kept(spark, tmp_path):
+    rows = [(f"https://l/{i}", "".join(f'<a class="hfpxzc" aria-label="p{i}_{k}" href="u"></a>' for k in range(1 + 9 * i))) for i in range(4)]
+    spark.createDataFrame(rows, "url string, html string").repartition(4).write.parquet(str(tmp_path / "listing"))
+    out = list_job(spark, str(tmp_path / "listing"), str(tmp_path / "places"))
+    want = [f"p{i}_{k}" for i in range(4) for k in range(1 + 9 * i)]
+    assert [r.place_name for r in out.report.collect()] == want[:5] and out.counts == {"pages": 4, "places": len(want)}
+    assert [r.place_name for r in scan_places(spark, str(tmp_path / "places")).orderBy("pos").collect()] == want
+
+
+def test_versions_of_a_page_and_unusable_places(spark, tmp_path):
+    versions = [("https://m/0", place(card(text=t)), n) for t, n in (("old", 1), ("new", 3), ("middle", 2))] + [("https://m/0", "<p>none</p>", 9)]
+    for order in (versions, versions[::-1]):
+        stored = spark.createDataFrame(order, "url string, html string, fetched int").repartition(2)
+        got = collect_documents(places_of(spark, ("A", "https://m/0")), stored, newest="fetched").collect()
+        assert [x.text for r in got for x in r.reviews] == ["new"]
+    assert len({str(collect_documents(places_of(spark, ("A", "https://m/0")), spark.createDataFrame(o, "url string, html string, fetched int")).collect()) for o in (versions, versions[::-1])}) == 1
+    sinks.write_places(places_of(spark, ("A", "https://m/0"), ("?!", "https://m/0"), ("", "https://m/1"), ("B", "")), str(tmp_path / "places"))
+    stored.write.parquet(str(tmp_path / "pages"))
+    out = collect_job(spark, str(tmp_path / "places"), str(tmp_path / "pages"), str(tmp_path / "docs"), unusable_path=str(tmp_path / "no"))
+    assert out.n_rows == 1 and out.counts["unusable_places"] == 3
+    assert sorted(r.reason for r in spark.read.parquet(str(tmp_path / "no")).collect()) == ["incomplete", "incomplete", "no_key"]
+
+
+def test_only_wanted_pages_are_read(spark):
+    stored = pages(spark, place(card()), place(card()))
+    done = spark.createDataFrame([("Same",)], "doc_key string")
+    from reviewloom.plans.collect import places_to_do, wanted_pages
+    from reviewloom.operators.extract import place_pages
+
+    plan = place_pages(wanted_pages(places_to_do(places_of(spark, ("Same", "https://m/0"), ("B", "https://m/1")), done), stored))
+    tree = plan._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= tree.index("MapInArrow") < tree.index("LeftSemi")
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     docs, final, checkpoint = tmp_path / "docs", str(tmp_path / "final"), str(tmp_path / "cp")
     docs.mkdir()

@@ -126,6 +126,20 @@ def test_signature_keeps_texts_apart(spark):
     assert df.select(signature(F.col("a"), F.col("b"))).distinct().count() == 4
 
 
+def test_first_n_beyond_the_limit_splits_a_hot_group(spark):
+    df = spark.range(20000).selectExpr("if(id % 10 = 0, null, 'hot') as g", "id as pos")
+    got = first_n(df, ["g"], ["pos"], 5000)
+    assert [tuple(r) for r in got.groupBy("g").agg({"pos": "max", "*": "count"}).select("g", "count(1)", "max(pos)").orderBy("g").collect()] == [
+        (None, 2000, 19990), ("hot", 5000, 5555)
+    ]
+    assert "_split" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_groups_and_ids_stay(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, None, 3), ("a", None, 1), ("a", 2, 2)], "file string, pos long, star int")
+    assert stratified_sample(df, "file", "star", "pos", 150).count() == 4
+
+
 def test_first_n(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 5)], "g string, pos bigint")
     assert {tuple(r) for r in first_n(df, ["g"], ["pos"], 2).collect()} == {("a", 0), ("a", 1), ("b", 5)}

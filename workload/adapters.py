@@ -138,3 +138,48 @@ def place_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text)
     )
     return blocks.select(file.alias("file"), value.alias("value"))
+
+
+def order_ratings() -> Column:
+    """Orders as JSON objects with a rating of each JSON type, or none."""
+    k = F.col("o_orderkey")
+    value = (
+        F.when(k % 9 == 0, F.lit("null"))
+        .when(k % 9 == 1, (k % 6).cast("string"))
+        .when(k % 9 == 2, F.concat((k % 6).cast("string"), F.lit(".5")))
+        .when(k % 9 == 3, F.concat(F.lit('"'), (k % 6).cast("string"), F.lit('"')))
+        .when(k % 9 == 4, F.lit('"good"'))
+        .when(k % 9 == 5, F.lit("true"))
+        .when(k % 9 == 6, F.lit("9999999999"))
+        .when(k % 9 == 7, F.lit("[5]"))
+    )
+    return F.coalesce(F.concat(F.lit('{"rating":'), value, F.lit("}")), F.lit("{}"))
+
+
+def place_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' titles and paragraph counts in the markup of place pages: page_id, url, html. Every
+    third page has no heading, every second of the others no about tab, every fifth no review tab."""
+    i = F.col("page_id")
+    n = F.regexp_count("html", F.lit("<p>"))
+    text = i.cast("string")
+
+    def card(k: Column) -> Column:
+        at = k.cast("string")
+        return F.concat(
+            F.lit('<div class="jftiEf" data-review-id="'), at, F.lit('"><div class="d4r55 fontTitleMedium">User '), at, F.lit("<br>Guide</div>"),
+            F.lit('<div class="DU9Pgb">'), F.repeat(F.lit('<span class="hCCjke"></span>'), (k % 6).cast("int")), F.lit('</div><span class="rsqaWe">'), at,
+            F.lit(' weeks ago</span><span class="wiI7pd">'), F.when(k % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Text "), at)), F.lit("</span></div>"),
+        )
+
+    parts = [
+        F.when(i % 3 != 0, F.concat(F.lit('<h1 class="DUwDvf lfPIob">Place '), text, F.lit("</h1>"))),
+        F.concat(F.lit('<div class="fontBodyMedium dmRWX"><span aria-hidden="true">'), (i % 5).cast("string"), F.lit(","), (i % 10).cast("string"),
+                 F.lit('</span><span aria-label="'), text, F.lit(' reviews"></span></div><button class="DkEaL">Kind '), (i % 7).cast("string"),
+                 F.lit('</button><div class="Io6YTe fontBodyMedium kR99db fdkmkc">Street '), text, F.lit("</div>")),
+        F.when(i % 2 == 0, F.lit('<div class="Gpq6kf NlVald">About</div>')),
+        F.concat(F.lit('<span class="HlvSq">About it</span><ul class="ZQ6we"><li class="hpLkke">a</li><li class="hpLkke">b'), text, F.lit("</li></ul>")),
+        F.when(i % 5 != 0, F.lit('<div class="Gpq6kf NlVald">Reviews</div>')),
+        F.array_join(F.transform(F.sequence(F.lit(1), n + 1), card), ""),
+    ]
+    html = F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))

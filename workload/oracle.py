@@ -187,6 +187,9 @@ def _shown(c: str) -> str:
     return _decode(c)
 
 
+_PLACE_PAGES = """pages_n AS (SELECT page_id, len(regexp_extract_all(html, '<p>')) + 1 AS n FROM pages WHERE page_id % 3 <> 0),
+placed AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 0 ELSE n - n // 4 END AS n_reviews,
+                  CASE WHEN page_id % 5 = 0 THEN 0 WHEN n % 4 = 0 THEN n - 1 ELSE n END AS last FROM pages_n)"""
 _LINKS = f"""links AS ({_unnest("page_id", f"list_zip(regexp_extract_all(html, '{LINK}', 1), regexp_extract_all(html, '{LINK}', 2))", "pages")})"""
 _BLOCKS = rf"""blocks AS ({_unnest("page_id", "list_filter(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13)) <> '')", "pages")})"""
 # A paragraph ends at its end tag, at the next one's start, or where its parent ends.
@@ -230,7 +233,17 @@ FROM firsts JOIN cards ON gmaps_url = url WHERE text <> ''""",
     "collect_place_documents": f"""WITH {_PAGE_PLACES}
 SELECT doc_key, place_name AS name, '0' AS avg_rating, CAST(0 AS BIGINT) AS n_reviews FROM firsts""",
     "incremental_skip": f"WITH {_PAGE_PLACES} SELECT doc_key, pos, place_name, gmaps_url FROM firsts",
-    "places_csv_roundtrip": f"WITH {_LINKS} SELECT x[2] AS place_name, x[1] AS gmaps_url FROM links WHERE x[1] <> '' AND x[2] <> ''",
+    "places_csv_roundtrip": f"""WITH {_LINKS} SELECT row_number() OVER (ORDER BY page_id, pos) AS place, x[2] AS place_name, x[1] AS gmaps_url
+FROM links WHERE x[1] <> '' AND x[2] <> ''""",
+    "place_page_picks": f"""WITH {_PLACE_PAGES}
+SELECT page_id, 'Place ' || page_id AS name, 'Kind ' || page_id % 7 AS category, page_id % 5 || '.' || page_id % 10 AS avg_rating,
+       page_id || ' reviews' AS total_reviews_text, 'Street ' || page_id AS address,
+       CASE WHEN page_id % 2 = 0 THEN 'About it' ELSE '' END AS description, CASE WHEN page_id % 2 = 0 THEN 'a | b' || page_id ELSE '' END AS attributes,
+       n_reviews, CASE WHEN last > 0 THEN 'User ' || last ELSE '' END AS last_user_name, CASE WHEN last > 0 THEN 'Text ' || last ELSE '' END AS last_text,
+       CASE WHEN last > 0 THEN last || ' weeks ago' ELSE '' END AS last_time, CAST(CASE WHEN last > 0 THEN last % 6 ELSE -1 END AS BIGINT) AS last_rating
+FROM placed""",
+    "newest_page_wins": f"""WITH {_PLACE_PAGES}
+SELECT 'p' || page_id AS doc_key, 'p' || page_id AS name, CASE WHEN page_id % 2 = 0 THEN 'About it' ELSE '' END AS description, n_reviews FROM placed""",
     "documents_json_roundtrip": f"""WITH {_PARAGRAPHS}, {_PAGE_PLACES}
 SELECT doc_key AS file, row_number() OVER (PARTITION BY doc_key ORDER BY cards.pos) - 1 AS pos,
     coalesce(split_part(bold, chr(10), 1), 'Anonymous') AS user_name, stars AS rating, text
@@ -259,6 +272,16 @@ ORACLE |= {
     "quarantine": f"WITH {_BLOCK_REVIEWS} SELECT DISTINCT file, {_REASON} AS reject_reason FROM reviews",
     "flatten_documents": f"WITH {_BLOCK_REVIEWS} SELECT file, pos, user_name, text, time, rating FROM ok",
     "place_fields_of_documents": f"WITH {_BLOCK_REVIEWS} SELECT DISTINCT file, {_block_fields()} FROM ok",
+    "ratings_as_given": """
+WITH r AS (SELECT o_orderkey, o_orderkey % 9 AS kind, o_orderkey % 6 AS star FROM orders)
+SELECT o_orderkey,
+       CAST(CASE kind WHEN 1 THEN star WHEN 3 THEN star WHEN 5 THEN 1 WHEN 8 THEN 0 ELSE -1 END AS BIGINT) AS rating,
+       CAST(CASE WHEN kind IN (1, 2, 3) THEN star WHEN kind = 5 THEN 1 ELSE 0 END AS BIGINT) AS bucket,
+       CASE kind WHEN 1 THEN star::VARCHAR WHEN 2 THEN star || '.5' WHEN 3 THEN star::VARCHAR WHEN 4 THEN 'good' WHEN 5 THEN 'true'
+                 WHEN 6 THEN '9999999999' WHEN 7 THEN '[5]' ELSE 'none' END AS raw
+FROM r""",
+    "scan_document_files": f"""WITH {_BLOCK_REVIEWS}, d AS (SELECT DISTINCT file, {_REASON} AS reject_reason FROM reviews)
+SELECT reject_reason, count(*) AS n_docs, count(*) AS n_files FROM d GROUP BY reject_reason""",
     "scan_written_documents": f"""WITH {_BLOCK_REVIEWS}, d AS (SELECT DISTINCT file, {_REASON} AS reject_reason FROM reviews)
 SELECT reject_reason, count(*) AS n_docs, count(*) AS n_files FROM d GROUP BY reject_reason""",
     "curated_documents": f"""

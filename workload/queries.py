@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom import functions as fn
-from reviewloom.operators.assemble import skip_done, with_doc_key
+from reviewloom.operators.assemble import assemble, one_page_per_url, skip_done, with_doc_key
 from reviewloom.operators.dedup import keep_first
 from reviewloom.operators.extract import all_matches, first_blocks, first_match, matched_links, picked_links, place_pages
 from reviewloom.operators.html_pick import All, Count, Css, Each, Exists, First, pick_elements
@@ -20,10 +20,11 @@ from reviewloom.operators.tables import (
     union_all,
     value_distribution,
 )
-from reviewloom.plans.collect import collect_documents
+from reviewloom.plans.collect import collect_documents, wanted_pages
 from reviewloom.plans.curate import curate_documents, curate_reviews
 from reviewloom.session import shared_path
 from reviewloom.sources import sinks
+from reviewloom.sources.places import scan_places
 from reviewloom.sources.documents import accepted, blank_rejected, document_reviews, parse_documents, place_fields, scan_documents
 from workload import adapters as a
 from workload.adapters import AS_OF, LINK, table
@@ -332,11 +333,10 @@ def place_page_info(spark, sf_dir):
 
 
 def _assembled(spark, sf_dir):
-    from reviewloom.operators.assemble import assemble
-
     todo = skip_done(with_doc_key(a.page_places(spark, sf_dir)), a.done_keys(spark, sf_dir))
-    extracted = place_pages(table(spark, sf_dir, "pages").select("url", "html"), PAGE_PICKS)
-    return assemble(todo, extracted)
+    pages = table(spark, sf_dir, "pages").select("url", F.sha2("html", 256).alias("digest"), "html")
+    extracted = one_page_per_url(place_pages(wanted_pages(todo, pages), PAGE_PICKS), ["digest"])
+    return assemble(todo, sinks.stage(extracted.drop("digest"), "extracted"))
 
 
 @query
@@ -398,6 +398,52 @@ def scan_written_documents(spark, sf_dir):
     )
 
 
+@query
+def scan_document_files(spark, sf_dir):
+    """The same with one document per file."""
+    path = shared_path(spark, "files")
+    a.place_documents(spark, sf_dir).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    parsed = parse_documents(scan_documents(spark, path, layout="file", pattern="*.txt"))
+    return parsed.groupBy(F.coalesce("reject_reason", F.lit("")).alias("reject_reason")).agg(
+        F.count("*").alias("n_docs"), F.count_distinct("file").alias("n_files")
+    )
+
+
+@query
+def ratings_as_given(spark, sf_dir):
+    """Ratings of all JSON types: number for the table, bucket, and the text they were given as."""
+    v = F.parse_json(a.order_ratings())
+    rating = fn.field(v, "rating")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.coalesce(fn.variant_rating(rating).cast("bigint"), F.lit(-1)).alias("rating"),
+        fn.variant_rating_bucket(rating).cast("bigint").alias("bucket"),
+        F.coalesce(fn.variant_raw(rating), F.lit("none")).alias("raw"),
+    )
+
+
+@query
+def place_page_picks(spark, sf_dir):
+    """Place pages in their own markup, some without a name: every field other than its default."""
+    extracted = place_pages(a.place_markup(spark, sf_dir))
+    last = F.try_element_at("reviews", F.lit(-1))
+    return extracted.select(
+        "page_id", "place_info.*", F.size("reviews").cast("bigint").alias("n_reviews"),
+        *(F.coalesce(last[c], F.lit("")).alias(f"last_{c}") for c in ("user_name", "text", "time")),
+        F.coalesce(last["rating"].cast("bigint"), F.lit(-1)).alias("last_rating"),
+    )
+
+
+@query
+def newest_page_wins(spark, sf_dir):
+    """Two stored versions of every page; places are collected from the later one."""
+    old = a.place_markup(spark, sf_dir).where("page_id % 3 <> 0")
+    pages = old.withColumn("fetched", F.lit(1)).union(old.withColumn("html", F.replace("html", F.lit("Place "), F.lit("New place "))).withColumn("fetched", F.lit(2)))
+    places = old.select(F.col("page_id").alias("pos"), F.concat(F.lit("p"), "page_id").alias("place_name"), F.col("url").alias("gmaps_url"))
+    docs = collect_documents(places, pages, newest="fetched")
+    return docs.select("doc_key", "place_info.name", "place_info.description", F.size("reviews").cast("bigint").alias("n_reviews"))
+
+
 @query
 def documents_json_roundtrip(spark, sf_dir):
     path = shared_path(spark, "documents")
@@ -408,9 +454,15 @@ def documents_json_roundtrip(spark, sf_dir):
 
 @query
 def places_csv_roundtrip(spark, sf_dir):
+    """Listing order written, then places scanned with the positions they get from it."""
     path = shared_path(spark, "places")
-    sinks.write_places(matched_links(_pages(spark, sf_dir), LINK), path)
-    return sinks.read_places(spark, path)
+    sinks.write_places(matched_links(_pages(spark, sf_dir), LINK), path, order=["page_id", "pos"])
+    places = scan_places(spark, path)
+    files = places.groupBy("pos.file_name").agg(F.count("*").alias("n"))
+    before = files.withColumn("before", F.sum("n").over(Window.orderBy("file_name")) - F.col("n"))  # a row per part file
+    within = F.row_number().over(Window.partitionBy("file_name").orderBy("row"))
+    numbered = places.select("pos.*", "place_name", "gmaps_url").withColumn("nth", within).join(before, "file_name")
+    return numbered.select((F.col("before") + F.col("nth")).cast("bigint").alias("place"), "place_name", "gmaps_url")
 
 
 @query
