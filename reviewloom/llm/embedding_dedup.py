@@ -156,6 +156,8 @@ def _compare(cosine: float, tables: int, probes: int, scale: float):
         t = rows.column("t")[0].as_py()
         cross = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(names)),) * 2
+        if not len(left) or not len(right):
+            return
         xs, ys = [], []
         for at in range(0, len(left), 512):
             part = left[at : at + 512]
