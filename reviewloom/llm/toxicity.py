@@ -63,10 +63,11 @@ class Bags:
     def _sum(x, side, n):
         index, cuts, ids = side
         out = np.zeros((n, x.shape[1]), np.float32)
-        for at in range(0, len(cuts), 1 << 16):
-            part = cuts[at : at + (1 << 16)]
-            end = cuts[at + (1 << 16)] if at + (1 << 16) < len(cuts) else len(index)
-            out[ids[at : at + (1 << 16)]] = np.add.reduceat(x[index[part[0] : end]], part - part[0], axis=0)
+        step = 1 << 13
+        for at in range(0, len(cuts), step):
+            part = cuts[at : at + step]
+            end = cuts[at + step] if at + step < len(cuts) else len(index)
+            out[ids[at : at + step]] = np.add.reduceat(x[index[part[0] : end]], part - part[0], axis=0)
         return out
 
     def mean(self, x):
@@ -103,20 +104,23 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> t
     ids, doc_of = [], []
     for part in letter_runs(pa.array(texts, pa.string()), numbers=True):
         raw = part.codes.astype(np.uint32)
-        ids += [vocabulary.setdefault(raw[a:b].tobytes(), len(vocabulary)) for a, b in zip(part.starts.tolist(), part.ends.tolist())]
-        doc_of.append(part.first + np.repeat(np.arange(part.n), np.diff(part.docs)))
-    if not ids or len(set(labels)) < 2:
+        ids.append(np.array([vocabulary.setdefault(raw[a:b].tobytes(), len(vocabulary)) for a, b in zip(part.starts.tolist(), part.ends.tolist())], np.int32))
+        doc_of.append((part.first + np.repeat(np.arange(part.n), np.diff(part.docs))).astype(np.int32))
+    if not vocabulary or len(set(labels)) < 2:
         return None
-    ids, doc_of = np.array(ids), np.concatenate(doc_of)
+    ids, doc_of = np.concatenate(ids), np.concatenate(doc_of)
     known = pa.array(["".join(map(chr, np.frombuffer(w, np.uint32))) for w in vocabulary], pa.string())
+    del vocabulary
     word, bucket = [], []
     for part in letter_runs(known, numbers=True):
         row = np.searchsorted(part.at, part.starts, side="right") - 1
         of, found = _word_grams(part)
-        word.append(part.first + row[of])
-        bucket.append(found)
+        word.append((part.first + row[of]).astype(np.int32))
+        bucket.append(found.astype(np.int32))
     word = np.concatenate(word)
-    used, bucket = np.unique(np.concatenate(bucket), return_inverse=True)
+    bucket = np.concatenate(bucket)
+    used = np.unique(bucket)
+    bucket = np.searchsorted(used, bucket).astype(np.int32)
     subwords = Bags(word, bucket, len(known), len(used))
     nth = np.arange(len(ids)) - np.searchsorted(doc_of, doc_of)  # place of the word in its text
     fresh = (nth % WINDOW == 0)
