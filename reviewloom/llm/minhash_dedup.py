@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.components import connected_components
 from reviewloom.llm.scratch import stage
-from reviewloom.llm.text import mix, runs_hash, shingles, slabs, word_hashes, words
+from reviewloom.llm.text import mix, shingles, slabs, word_hashes, words
 
 SIZE, PERCENT, BANDS, ROWS = 5, 85, 20, 4
 LAST = (1 << 63) - 1
