@@ -4,8 +4,8 @@ The standard library's parser streams events; they are cut into lines, one per b
 it took and the path of elements around it. Parts that never are article text (menus, headers and footers of the page,
 sidebars, forms, scripts, adverts, notices, reader comments) are left out by element, role or class words. The ratio of
 text to tags of the remaining lines is smoothed with a Gaussian and split into two clusters; the lines above the split
-are the content regions. The article is the smallest element that holds most of their text: all its remaining blocks are
-returned, short ones too.
+are the content regions. All remaining blocks are returned, short ones too; on a page with <article> or <main>, lines
+outside those that are no heading, lie below the split and have all their letters in links (menus) are left out.
 
 White space (HTML's and other) inside a block becomes one space; character references are decoded; blocks are joined by
 an empty line. Null, empty and text-free pages give an empty text. Markup that is broken or nested without end is read
@@ -56,20 +56,24 @@ MARKS = frozenset(
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_LETTER = re.compile(r"[^\W_]")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-WRAPPERS = frozenset("div section table td body center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
+#: Text, tags in it, number of the element around it, whether all its letters are in links.
+Line = tuple[str, int, int, bool]
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags in it, number of the element around it)."""
+    """Lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # element, number, left out
         self.places: dict[str, list[int]] = {}  # of each element in open
-        self.lines: list[tuple[str, int, int]] = []  # of what is not left out
+        self.lines: list[Line] = []  # of what is not left out
         self.parts: list[str] = []
+        self.linked = True  # no text outside links in parts
         self.tags = 0
         self.parents: list[int] = [-1]
         self.names: list[str] = [""]
@@ -81,8 +85,9 @@ class Lines(HTMLParser):
         if text:
             _, number, outside = self.open[-1] if self.open else ("", 0, False)
             if not outside:
-                self.lines.append((text, self.tags, number))
+                self.lines.append((text, self.tags, number, self.linked))
             self.tags = 0
+        self.linked = True
 
     def _push(self, tag, attrs):
         parent = self.open[-1] if self.open else ("", 0, False)
@@ -98,7 +103,7 @@ class Lines(HTMLParser):
         self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, len(self.names), outside))
         self.parents.append(parent[1])
-        self.names.append(tag)
+        self.names.append("link" if tag == "a" and any(k == "href" for k, _ in attrs) else tag)
         self.marks.append(mark)
 
     def _pop(self):
@@ -172,6 +177,9 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
+            if self.linked and _LETTER.search(data):
+                link = self.places.get("a")
+                self.linked = bool(link) and self.names[self.open[link[-1]][1]] == "link"
 
     def end(self):
         self.close()
@@ -210,7 +218,7 @@ def _sums(page: Lines, weights: list[tuple[int, float]]) -> list[float]:
     return below
 
 
-def _outside_removed(page: Lines) -> list[tuple[str, int, int]]:
+def _outside_removed(page: Lines) -> list[Line]:
     """The lines outside parts marked by class.
 
     A mark on what holds the page's heading or article is none; on a page without those, marks on all of it are none.
@@ -224,6 +232,22 @@ def _outside_removed(page: Lines) -> list[tuple[str, int, int]]:
     return rest if rest or heads[0] else page.lines
 
 
+def _below(page: Lines, names) -> list[bool]:
+    """Per element whether it is one of ``names`` or inside one."""
+    inside = [False] * len(page.names)
+    for i in range(1, len(inside)):
+        inside[i] = page.names[i] in names or inside[page.parents[i]]
+    return inside
+
+
+def _content(lines: list[Line]) -> np.ndarray:
+    """Per line whether its smoothed ratio is above the split."""
+    size = np.array([len(x[0]) for x in lines], float)
+    tags = np.array([x[1] for x in lines], float)
+    ratio = smoothed(np.log1p(size / np.maximum(tags, 1)))
+    return ratio >= split_level(ratio) if ratio.max() - ratio.min() > 0.5 else np.ones(len(lines), bool)
+
+
 def main_blocks(html: str | None) -> list[str]:
     """Blocks of the article, in page order."""
     if not html:
@@ -234,25 +258,11 @@ def main_blocks(html: str | None) -> list[str]:
     lines = _outside_removed(page)
     if not lines:
         return []
-    size = np.array([len(x[0]) for x in lines], float)
-    tags = np.array([x[1] for x in lines], float)
-    ratio = smoothed(np.log1p(size / np.maximum(tags, 1)))
-    content = ratio >= split_level(ratio) if ratio.max() - ratio.min() > 0.5 else np.ones(len(lines), bool)
-    weight = np.where(content, size, 0.0)
-    if not weight.any():
-        weight = size
-    below = _sums(page, list(zip((x[2] for x in lines), weight.tolist())))
-    article, wide = 0, 0
-    for i in range(1, len(below)):
-        if page.names[i] in ("article", "main") and below[i] >= 0.5 * below[0]:
-            article = i  # the innermost wins, as it comes later
-        elif page.names[i] in WRAPPERS and below[i] >= 0.8 * below[0]:
-            wide = i
-    article = article or wide
-    inside = [not article] * len(below)
-    for i in range(max(article, 1), len(below)):
-        inside[i] = i == article or inside[page.parents[i]]
-    return [x[0] for x in lines if inside[x[2]]]
+    content = _content(lines)
+    article, heading = _below(page, ("article", "main")), _below(page, HEADINGS)
+    if not any(article[x[2]] for x in lines):
+        return [x[0] for x in lines]
+    return [x[0] for x, rich in zip(lines, content) if rich or article[x[2]] or heading[x[2]] or not x[3]]
 
 
 def _extract(columns: list[str]):

@@ -70,3 +70,31 @@ def test_time_is_linear(make):
         return time.perf_counter() - start
 
     assert min(took(16000) for _ in range(2)) < 12 * min(took(2000) for _ in range(2)) + 0.2
+
+
+WHOLE = {
+    "title, intro and list beside the body": (
+        page(f"<div class=post><h1>Title</h1><p>Intro</p><div class=body><p>{LONG}</p><p>{LONG}</p></div><ul><li>x<li>y</ul></div>"),
+        ["Title", "Intro", LONG.strip(), LONG.strip(), "x", "y"],
+    ),
+    "intro and table beside the body, no heading": (
+        page(f"<div><p>Intro</p><div class=body><p>{LONG}</p><p>{LONG}</p></div><table><tr><td>1<td>2</table></div>"),
+        ["Intro", LONG.strip(), LONG.strip(), "1", "2"],
+    ),
+    "two sections": (page(f"<section><p>{LONG * 6}</p></section><section><p>{LONG}</p></section>"), [(LONG * 6).strip(), LONG.strip()]),
+    "heading and intro beside the article in main": (
+        page(f"<div><a href=/>Home</a></div><main><h1>H</h1><p>Intro</p><article><p>{LONG}</p><p>{LONG}</p></article></main>"),
+        ["H", "Intro", LONG.strip(), LONG.strip()],
+    ),
+    "two articles in main": (page(f"<main><article><p>{LONG * 3}</p></article><article><p>Short</p></article></main>"), [(LONG * 3).strip(), "Short"]),
+    "heading, intro and list beside the article": (
+        page(f"<ul><li><a href=/a>A</a><li><a href=/b>B</a></ul><h1><a href=/t>Title</a></h1><p>Intro, <a href=/c>c</a></p><article><p>{LONG}</p><p>{LONG}</p></article><ul><li>x</ul>"),
+        ["Title", "Intro, c", LONG.strip(), LONG.strip(), "x"],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_nothing_unmarked_is_lost(name):
+    html, want = WHOLE[name]
+    assert main_blocks(html) == want
