@@ -2,9 +2,10 @@
 
 The standard library's parser streams events; they are cut into lines, one per block element, each with its text, the tags
 it took and the path of elements around it. Parts that never are article text (menus, headers and footers of the page,
-sidebars, forms, scripts, adverts, notices, reader comments) are left out by element, role or class words. The ratio of
+sidebars, forms, scripts) are left out by element or role. The ratio of
 text to tags of the remaining lines is smoothed with a Gaussian and split into two clusters; the lines above the split
-are the content regions. All remaining blocks are returned, short ones too; on a page with <article> or <main>, lines
+are the content regions. Parts whose class or id names them adverts, notices, menus and the like are left out if they hold
+none of these lines or, together, a minor share of their text; reader comments always. All remaining blocks are returned, short ones too; on a page with <article> or <main>, lines
 outside those that are no heading, lie below the split and have all their letters in links (menus) are left out.
 
 White space (HTML's and other) inside a block becomes one space; character references are decoded; blocks are joined by
@@ -45,25 +46,44 @@ LIMITS = {
     "body": frozenset(),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert note".split())
-# Words of class and id that mark parts outside the article.
+# Words of class and id that mark parts outside the article, and words that may stand beside them in one name.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
     "consent cookie cookies copyright disclaimer disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices "
     "pagination pager popup privacy promo promos promoted promotion recommended related respond replies reply share sharing sidebar sidebars "
     "signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons container content entry form global group holder home icon icons inner item items js left link "
+    "links list main page panel post primary right secondary section site slot title top wrap wrapper zone".split()
+)
 #: Of these, parts that stay out however much of the page they hold.
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
+KNOWN = MARKS | NEUTRAL
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _LETTER = re.compile(r"[^\W_]")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
+#: Share of the content that marked parts may hold and still be left out.
+MINOR = 0.2
+#: Letters a tag of prose, where a page has no poorer lines to compare with.
+PROSE = 10.0
 #: Text, tags in it, number of the element around it, whether all its letters are in links.
 Line = tuple[str, int, int, bool]
 
 
+def _mark(names: str) -> str:
+    """The mark that a class or id gives: of its names only those count whose words are all marks or neutral."""
+    found = set()
+    for name in names.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words <= KNOWN:
+            found |= words & MARKS
+    return "readers" if found & READERS else "marked" if found else ""
+
+
 class Lines(HTMLParser):
     """Lines of a page."""
 
@@ -96,9 +116,8 @@ class Lines(HTMLParser):
             given = {k: v or "" for k, v in attrs}
             outside = tag in DROPPED or self._hidden(tag, given)
             if tag not in ("html", "body", "article", "main"):
-                words = {w.lower() for x in ("class", "id") for w in _WORDS.findall(given.get(x, ""))} & MARKS
-                mark = "readers" if words & READERS else "marked" if words else ""
-            elif tag == "article" and READERS & {w.lower() for w in _WORDS.findall(given.get("class", ""))}:
+                mark = _mark(f"{given.get('class', '')} {given.get('id', '')}")
+            elif tag == "article" and _mark(given.get("class", "")) == "readers":
                 mark = "readers"
         self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, len(self.names), outside))
@@ -221,15 +240,26 @@ def _sums(page: Lines, weights: list[tuple[int, float]]) -> list[float]:
 def _outside_removed(page: Lines) -> list[Line]:
     """The lines outside parts marked by class.
 
-    A mark on what holds the page's heading or article is none; on a page without those, marks on all of it are none.
+    Parts of readers are out unless they hold the page's h1 or main. Of other marked parts those are out that hold no line above
+    the split, and all if together they hold under ``MINOR`` of the text above it. A mark on what holds the page's
+    heading or article is none; on a page without those, marks on all of it are none.
     """
     heads = _sums(page, [(i, 1) for i, name in enumerate(page.names) if name in ("h1", "main", "article") and page.marks[i] != "readers"])
-    out = [False] * len(page.names)
-    for i in range(1, len(out)):
-        mark = page.marks[i]
-        out[i] = out[page.parents[i]] or mark == "readers" or mark == "marked" and not heads[i]
-    rest = [x for x in page.lines if not out[x[2]]]
-    return rest if rest or heads[0] else page.lines
+    own = _sums(page, [(i, 1) for i, name in enumerate(page.names) if name in ("h1", "main")])
+    readers, part = [False] * len(page.names), [0] * len(page.names)  # part: the outermost marked element around
+    for i in range(1, len(part)):
+        readers[i] = readers[page.parents[i]] or page.marks[i] == "readers" and not own[i]
+        part[i] = part[page.parents[i]] or (i if page.marks[i] == "marked" and not heads[i] else 0)
+    lines = [x for x in page.lines if not readers[x[2]]]
+    if lines and any(part[x[2]] for x in lines):
+        size = np.array([len(x[0]) for x in lines], float)
+        size[~_content(lines, PROSE)] = 0
+        of = np.array([part[x[2]] for x in lines])
+        rich = set(of[(size > 0) & (of > 0)].tolist())
+        if size[of > 0].sum() < MINOR * size.sum():
+            rich = set()
+        lines = [x for x in lines if not part[x[2]] or part[x[2]] in rich]
+    return lines if lines or heads[0] else page.lines
 
 
 def _below(page: Lines, names) -> list[bool]:
@@ -240,12 +270,12 @@ def _below(page: Lines, names) -> list[bool]:
     return inside
 
 
-def _content(lines: list[Line]) -> np.ndarray:
-    """Per line whether its smoothed ratio is above the split."""
+def _content(lines: list[Line], alike: float = 0.0) -> np.ndarray:
+    """Per line whether its smoothed ratio is above the split; where ratios are all alike, whether it has ``alike`` letters a tag."""
     size = np.array([len(x[0]) for x in lines], float)
     tags = np.array([x[1] for x in lines], float)
     ratio = smoothed(np.log1p(size / np.maximum(tags, 1)))
-    return ratio >= split_level(ratio) if ratio.max() - ratio.min() > 0.5 else np.ones(len(lines), bool)
+    return ratio >= split_level(ratio) if ratio.max() - ratio.min() > 0.5 else ratio >= np.log1p(alike)
 
 
 def main_blocks(html: str | None) -> list[str]:

@@ -98,3 +98,23 @@ WHOLE = {
 def test_nothing_unmarked_is_lost(name):
     html, want = WHOLE[name]
     assert main_blocks(html) == want
+
+
+MARKED = {
+    "the article in a widget": page(f"<main><h1>H</h1><div class='elementor-widget elementor-widget-text-editor'><p>{LONG}</p></div></main>"),
+    "the article in a plain widget": page(f"<main><h1>H</h1><div class=widget><p>{LONG}</p></div><div class=ad>Buy</div></main>"),
+    "marks inside longer names": page(f"<article><h1>H</h1><div class='with-sidebar'><div id=social-science><p>{LONG}</p></div></div></article>"),
+    "state of the comments": page(f"<h1>H</h1><div class='post comments-open'><p>{LONG}</p></div><div id=comments><p>{LONG * 9}</p></div>"),
+    "a notice of minor size": page(f"<main><h1>H</h1><p>{LONG}</p><div class='cookie-notice'><p>We use cookies.</p></div></main>"),
+    "a heading among the readers": page(f"<div class=comments><h1>H</h1><p>{LONG}</p></div>"),
+}
+
+
+@pytest.mark.parametrize("name", MARKED)
+def test_marks_take_no_article(name):
+    assert main_blocks(MARKED[name]) == ["H", LONG.strip()]
+
+
+def test_marked_parts_that_hold_much_of_the_text():
+    parts = "".join(f"<div class='widget'><p>{i}{LONG}</p></div>" for i in range(3))
+    assert main_blocks(page(f"<main><h1>H</h1>{parts}<div class=share><a href=1>a</a> <a href=2>b</a></div></main>")) == ["H"] + [f"{i}{LONG}".strip() for i in range(3)]
