@@ -4,7 +4,8 @@ A word (run of letters and numbers) is the mean of its character n-grams' vector
 its words; two softmax logits are linear in that mean. Vectors and weights are trained together, so misspellings and
 endings never seen share the n-grams of those seen. A text's score is that of its worst window, calibrated on the
 training texts: a few words do not drown in a long text. Training starts with every window of a toxic text as toxic;
-then only windows that the model finds toxic, and each toxic text's worst one, remain so.
+then only windows that the model finds toxic, and each toxic text's worst one, remain so. Vectors of n-grams seen n times count
+n / (n + ``RARE``); only those in fewer than ``LEAST`` words, whatever the sample, have no weight.
 
 Training uses at most ``SAMPLE`` texts of each class and ``SAMPLE_BYTES`` of text, chosen by a hash of ``doc_id`` (shortest
 first only where one text alone exceeds the bound). Scoring reads all of every text, without a shuffle: the model is a
@@ -22,7 +23,7 @@ from reviewloom.llm.language_id import remainder
 from reviewloom.llm.text import grams, letter_runs
 
 BITS, ORDERS, WINDOW, DIMENSIONS = 17, (3, 4, 5), 6, 6
-SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, RATE, COMMON = 1500, 12 << 20, 3, 25, 0.1, 0.02
+SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, RATE, LEAST, RARE = 1500, 12 << 20, 3, 25, 0.1, 2, 10
 
 
 def _word_grams(part) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +129,10 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> t
     of_window = doc_of[fresh]
     bags = Bags(window, ids, int(window[-1]) + 1, len(known))
     r = np.random.default_rng(seed)
-    # N-grams in fewer words of the sample than COMMON times its toxic texts stay at zero, like those never seen.
+    # N-grams in fewer words of the sample than LEAST stay at zero, like those never seen; others shrink the more the rarer they are.
     times = np.bincount(bucket, weights=np.bincount(ids, minlength=len(known))[word], minlength=len(used))
-    common = (times >= max(2.0, COMMON * float(y.sum()))).astype(np.float32)[:, None]
-    vectors = r.normal(0, 0.02, (len(used), DIMENSIONS)).astype(np.float32) * common
+    trust = np.where(times >= LEAST, times / (times + RARE), 0).astype(np.float32)[:, None]
+    vectors = r.normal(0, 0.02, (len(used), DIMENSIONS)).astype(np.float32)
     heads = r.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     values = [vectors, heads, bias]
@@ -143,17 +144,16 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> t
         weight = np.where(target > 0, 0.5 / max(positive, 1), 0.5 / max(len(target) - positive, 1)).astype(np.float32)
         for _ in range(STEPS):
             step += 1
-            mean = bags.mean(subwords.mean(vectors))
+            mean = bags.mean(subwords.mean(vectors * trust))
             logits = mean @ heads + bias
             p = _sigmoid(logits[:, 1] - logits[:, 0]).astype(np.float32)
             error = ((p - target) * weight)[:, None] * np.array([[-1, 1]], np.float32)
-            gradients = [subwords.spread(bags.spread(error @ heads.T)), mean.T @ error, error.sum(0)]
+            gradients = [subwords.spread(bags.spread(error @ heads.T)) * trust, mean.T @ error, error.sum(0)]
             for value, gradient, (m, v) in zip(values, gradients, moments):
                 m += 0.1 * (gradient - m)
                 v += 0.01 * (gradient**2 - v)
                 value -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            vectors *= common
-        logit = (bags.mean(subwords.mean(vectors)) @ heads + bias) @ np.array([-1, 1], np.float32)
+        logit = (bags.mean(subwords.mean(vectors * trust)) @ heads + bias) @ np.array([-1, 1], np.float32)
         worst = np.full(len(texts), -np.inf, np.float32)
         np.maximum.at(worst, of_window, logit)
         # A window of a toxic text stays toxic if it stands out from those of clean texts, or is the text's worst.
@@ -161,7 +161,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> t
         bar = np.quantile(clean, 0.999) if len(clean) else 0.0
         target = ((y[of_window] > 0) & ((logit > bar) | (logit == worst[of_window]))).astype(np.float32)
     table = np.zeros(1 << BITS, np.float32)
-    table[used] = vectors @ heads @ np.array([-1, 1], np.float32)
+    table[used] = (vectors * trust) @ heads @ np.array([-1, 1], np.float32)
     score = worst_window(table, pa.array(texts, pa.string()))
     fine = np.isfinite(score)
     share = y[fine].mean()

@@ -1,6 +1,8 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewloom.llm import toxicity as t
@@ -60,3 +62,23 @@ def test_held_out_accuracy(spark):
     toxic = [r["predicted"] for r in rows if r["toxic"]]
     clean = [r["predicted"] for r in rows if not r["toxic"]]
     assert len(rows) > 500 and sum(toxic) / len(toxic) > 0.7 and sum(clean) / len(clean) < 0.05
+
+
+def test_long_tail_of_toxic_words():
+    """300 toxic words, each in under 1 % of the 1,500 toxic texts of a full sample."""
+    r = random.Random(4)
+    syllables = [a + b for a in "bcdfghjklmnprstvwz" for b in ("a", "e", "i", "o", "u", "an", "er", "is", "ol")]
+    clean = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(6000)]
+    toxic = ["".join(r.choice("bcdfghklmnprstvwxyzaeiou") for _ in range(r.randint(6, 9))) for _ in range(300)]
+    rows = []
+    for i in range(4000):
+        w = [clean[int(len(clean) * r.random() ** 2)] for _ in range(r.randint(10, 60))]
+        for x in r.sample(toxic, 2) if i % 2 else []:
+            w.insert(r.randrange(len(w) + 1), x)
+        rows.append((" ".join(w), i % 2))
+    used = [set(x.split()) for x, y in rows[:3000] if y]
+    assert len(used) == 1500 and np.mean([sum(x in u for u in used) < 15 for x in toxic]) > 0.9
+    table, scale, shift = t.train([x for x, _ in rows[:3000]], [y for _, y in rows[:3000]], 0.5)
+    flagged = scale * t.worst_window(table, pa.array([x for x, _ in rows[3000:]])) + shift >= 0
+    truth = np.array([y for _, y in rows[3000:]]) > 0
+    assert flagged[truth].mean() > 0.9 and flagged[~truth].mean() < 0.1
