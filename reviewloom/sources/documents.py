@@ -21,7 +21,7 @@ from reviewloom.operators.tables import flatten
 
 #: Names that Spark gives to the files it writes.
 _PART_FILE = r"^part-\d{5}-"
-#: Longest text value that Spark's JSON parser takes; VARIANT's own limit is higher.
+#: Longest text value that `try_parse_json` takes; VARIANT's own limit is higher.
 LONGEST_TEXT = 20_000_000
 
 
@@ -69,7 +69,10 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     # The parser stops after the first value. In an array that goes on with the text's own digest,
     # which no text can hold, the document is all there was if the digest comes second and last.
     digest = F.sha2("value", 256)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(',"'), digest, F.lit('"]')))
+    text = F.concat(F.lit("["), F.col("value"), F.lit(',"'), digest, F.lit('"]'))
+    # The same with longer texts; only where needed, since it parses once more.
+    long_texts = F.from_json(text, "variant", {"maxStringLen": str(2**31 - 1)})
+    wrapped = F.coalesce(F.try_parse_json(text), F.when(F.octet_length("value") > LONGEST_TEXT, long_texts))
     parsed = raw.withColumn("_wrapped", F.when(F.is_valid_utf8("value"), wrapped))
     parsed = parsed.withColumn("doc", F.try_variant_get("_wrapped", "$[0]", "variant"))
     whole = F.try_variant_get("_wrapped", "$[1]", "string").eqNullSafe(digest)
