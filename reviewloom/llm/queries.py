@@ -15,6 +15,7 @@ from reviewloom.llm.html_text import extract_text
 from reviewloom.llm.language_id import language_id
 from reviewloom.llm.minhash_dedup import minhash_dedup
 from reviewloom.llm.scratch import stage
+from reviewloom.llm.spelling_variants import spelling_variants
 from reviewloom.llm.suffix_dedup import suffix_dedup
 from reviewloom.llm.toxicity import toxicity
 from reviewloom.session import shared_path
@@ -113,3 +114,8 @@ def op10_token_counts(spark, sf_dir):
 @query
 def op9_embedding_dedup(spark, sf_dir):
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
