@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.llm import centroid_clusters as clusters
 from reviewloom.llm import chat_format as chat
 from reviewloom.llm import mix_sources as mix
 from reviewloom.llm import token_counts as tokens
@@ -119,3 +120,11 @@ def op9_embedding_dedup(spark, sf_dir):
 @query
 def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_centroid_clusters(spark, sf_dir):
+    return clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op13_centroid_clusters"] = clusters.sql("embeddings")
