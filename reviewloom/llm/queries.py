@@ -12,6 +12,7 @@ from reviewloom.llm import mix_sources as mix
 from reviewloom.llm import token_counts as tokens
 from reviewloom.llm.decontaminate import find_contamination
 from reviewloom.llm.embedding_dedup import embedding_dedup
+from reviewloom.llm.fingerprints import document_fingerprints
 from reviewloom.llm.html_text import extract_text
 from reviewloom.llm.language_id import language_id
 from reviewloom.llm.minhash_dedup import minhash_dedup
@@ -122,6 +123,11 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_fingerprints(spark, sf_dir):
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_centroid_clusters(spark, sf_dir):
     return clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
