@@ -42,3 +42,25 @@ def first_positions(
     """
     carried = [F.min_by(c, position).alias(c) for c in carry]
     return df.groupBy(*keys).agg(F.min(position).alias(position), *carried)
+
+
+def number_copies(df: DataFrame, key: str, *, splits: int = 256) -> DataFrame:
+    """Make the text column ``key`` unique: of rows that share one, the second on get ``#2``, ``#3`` and so on.
+
+    Keys are counted first, with combined counts; only rows of repeated keys move, and those of one key in ``splits``
+    parts. ``df`` is read twice and must give the same rows in the same order: a stored table.
+    """
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(splits)).cast("int")
+    # Counted and numbered by the same parts, so the parts of a key follow each other without a gap.
+    parted = df.withColumn("_part", part)
+    sizes = parted.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy("_part")  # at most ``splits`` rows a key
+    before = F.sum("_n").over(w) - F.col("_n")
+    sizes = sizes.withColumns({"_before": before, "_all": F.sum("_n").over(Window.partitionBy(key))}).where("_all > 1")
+    starts = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_key_part"), "_before")
+    joined = parted.join(starts, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_key_part")), "left")
+    alone = joined.where("_key is null")
+    rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy(F.lit(0))) + F.col("_before")
+    again = joined.where("_key is not null").withColumn("_rank", rank)
+    again = again.withColumn(key, F.when(F.col("_rank") > 1, F.concat_ws("#", key, F.col("_rank").cast("string"))).otherwise(F.col(key)))
+    return alone.select(*df.columns).union(again.select(*df.columns))

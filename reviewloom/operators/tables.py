@@ -29,11 +29,13 @@ def filter_nonempty(df: DataFrame, text: str) -> DataFrame:
     return df.where(has_text(F.col(text)))
 
 
-def flatten(documents: DataFrame, reviews: str = "reviews", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per element of the review array with its position; ``keep`` columns are repeated."""
+def flatten(documents: DataFrame, reviews: str = "reviews", keep: Sequence[str] = (), *, outer: bool = False) -> DataFrame:
+    """One row per element of the review array with its position; ``keep`` columns are repeated. With ``outer`` an empty or
+    null array gives a row without position."""
     # The outer form spares the size check that Spark would otherwise push below the projection
     # making the array, which would then be made twice.
-    tall = documents.select(*keep, F.posexplode_outer(reviews).alias("pos", "review")).where("pos is not null")
+    tall = documents.select(*keep, F.posexplode_outer(reviews).alias("pos", "review"))
+    tall = tall if outer else tall.where("pos is not null")
     return tall.withColumn("pos", F.col("pos").cast("bigint"))
 
 

@@ -37,7 +37,11 @@ def collect_documents(
     as the time of fetching) that qualifies counts, by digest where that ties or is not given. The
     extracted fields are staged, as two steps use them.
     """
-    todo = places_to_do(places, done)
+    return collect_pages(places_to_do(places, done), pages, card_cap=card_cap, newest=newest)
+
+
+def collect_pages(todo: DataFrame, pages: DataFrame, *, card_cap: int = CARD_CAP, newest: str | None = None) -> DataFrame:
+    """`collect_documents` for places (doc_key, pos, place_name, gmaps_url) that are all to be done."""
     rank = F.col(newest) if newest else F.lit(0)
     kept = wanted_pages(todo, pages.select("url", rank.alias("_rank"), F.sha2("html", 256).alias("_digest"), "html"))
     extracted = one_page_per_url(place_pages(kept, card_cap=card_cap), [F.col("_rank").desc_nulls_last(), F.col("_digest")])

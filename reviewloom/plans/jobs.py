@@ -1,25 +1,25 @@
-"""The three jobs end to end: list places, collect documents, curate reviews."""
+"""The three jobs end to end: list places, collect documents, curate reviews.
+
+What is counted is counted while it is written; no job reads anything again for a number.
+"""
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators.assemble import with_doc_key
+from reviewloom.operators.assemble import skip_done, with_doc_key
+from reviewloom.operators.dedup import keep_first
 from reviewloom.operators.extract import CARD_CAP
 from reviewloom.operators.tables import preview, value_distribution
-from reviewloom.plans.collect import collect_documents, list_places, places_to_do
-from reviewloom.plans.curate import SAMPLE_CAP, final_rows, sampled_documents
+from reviewloom.plans.collect import collect_pages, list_places
+from reviewloom.plans.curate import SAMPLE_CAP, curate_large_documents, final_rows, sampled_documents
 from reviewloom.sources import sinks
-from reviewloom.sources.documents import rejected, scan_documents
-from reviewloom.sources.places import complete_places, incomplete_places, scan_places
-
-_DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+from reviewloom.sources.documents import REASONS, duplicate_keys_allowed, rejected, scan_documents
+from reviewloom.sources.places import COMPLETE, read_places, write_places_copy
+from reviewloom.sources.store import DocumentStore
 
 
 @dataclass(frozen=True)
@@ -34,55 +34,38 @@ class Outcome:
 
 
 def list_job(spark: SparkSession, pages_path: str, places_path: str) -> Outcome:
-    """Listing pages (Parquet: url, html) to a places CSV in the order of page and place on it; the
-    report is its first five rows."""
-    pages = spark.read.parquet(pages_path).select("url", "html")
-    places = sinks.stage(list_places(pages), "places")
-    written = sinks.write_places(places, places_path, order=["url", "pos"])
-    n = places.count()
-    return Outcome(written, n, preview(places, "url", "pos").drop("url", "pos"), {"pages": pages.count(), "places": n})
+    """Listing pages (Parquet: url, html) to a places CSV in the order of page and place on it, with a copy that
+    `collect_job` reads in parallel; the report is its first five rows."""
+    pages, n = sinks.stage_counted(spark.read.parquet(pages_path).select("url", "html"), "listing", pages=F.count("*"))
+    places, m = sinks.stage_counted(list_places(pages), "places", places=F.count("*"))
+    written = sinks.write_places(places, places_path, order=["url", "pos"], n_rows=m["places"])
+    if written:
+        write_places_copy(places, places_path, ["url", "pos"])
+    return Outcome(written, m["places"], preview(places, "url", "pos").drop("url", "pos"), {**n, **m})
 
 
 def collect_job(
     spark: SparkSession, places_path: str, pages_path: str, documents_path: str, *, card_cap: int = CARD_CAP,
     newest: str | None = None, unusable_path: str | None = None,
 ) -> Outcome:
-    """Places CSV and stored pages to documents, added to those already there. Places without a
-    name, a URL or a key go to ``unusable_path`` with the reason, and are counted in any case."""
-    try:
-        done = sinks.written_keys(spark, documents_path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        done = None
-    pages = spark.read.parquet(pages_path)
-    places = scan_places(spark, places_path)
-    no_key = with_doc_key(complete_places(places)).where("doc_key = ''").withColumn("reason", F.lit("no_key")).drop("doc_key")
-    unusable = sinks.stage(incomplete_places(places).withColumn("reason", F.lit("incomplete")).unionByName(no_key).drop("pos"), "unusable")
+    """Places list and stored pages to documents, added as one batch to the `DocumentStore` at ``documents_path``.
+
+    The batch becomes visible with its last write, so a job that is stopped anywhere and run again gives each key once.
+    Places without a name, a URL or a key go to ``unusable_path`` with the reason, and are counted in any case;
+    ``places_to_do`` counts places not done yet, those alike in key and URL once.
+    """
+    store = DocumentStore(spark, documents_path)
+    reason = F.when(~F.expr(COMPLETE), "incomplete").when(F.col("doc_key") == "", "no_key")
+    listed = with_doc_key(read_places(spark, places_path)).withColumn("reason", reason)
+    listed, n = sinks.stage_counted(listed, "places", places=F.count("*"), unusable_places=F.count("reason"))
     if unusable_path:
-        unusable.write.mode("overwrite").parquet(unusable_path)
-    documents = sinks.stage(collect_documents(places, pages, done, card_cap=card_cap, newest=newest), "documents")
-    written = sinks.write_documents(documents, documents_path)
-    if written:
-        sinks.write_keys(documents, documents_path)
-    sizes = documents.selectExpr("doc_key", "size(reviews) as n_reviews")
-    n, reviews = documents.agg(F.count("*"), F.coalesce(F.sum(F.size("reviews")), F.lit(0))).first()
-    counts = {
-        "places": places.count(), "unusable_places": unusable.count(), "places_to_do": places_to_do(places, done).select("doc_key").distinct().count(),
-        "documents": n, "reviews": reviews,
-    }
-    return Outcome(written, n, sizes, counts)
-
-
-@contextmanager
-def _duplicate_keys_allowed(spark: SparkSession) -> Iterator[None]:
-    """A key given twice is no error: its last value counts."""
-    before = spark.conf.get(_DUPLICATE_KEYS)
-    spark.conf.set(_DUPLICATE_KEYS, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_DUPLICATE_KEYS, before)
+        listed.where("reason is not null").select("place_name", "gmaps_url", "reason").write.mode("overwrite").parquet(unusable_path)
+    todo = keep_first(skip_done(listed.where("reason is null").drop("reason"), store.keys()), ["doc_key", "gmaps_url"], ["pos"])
+    todo, m = sinks.stage_counted(todo, "to-do", places_to_do=F.count("*"))
+    documents = collect_pages(todo, spark.read.parquet(pages_path), card_cap=card_cap, newest=newest)
+    documents, found = sinks.stage_counted(documents, "documents", documents=F.count("*"), reviews=F.sum(F.size("reviews")))
+    written = store.commit(documents, counts=found)
+    return Outcome(written, found["documents"], documents.selectExpr("doc_key", "size(reviews) as n_reviews"), {**n, **m, **found})
 
 
 def curate_job(
@@ -98,19 +81,44 @@ def curate_job(
     raw_rating: bool = False,
 ) -> Outcome:
     """Documents to the final CSV; the report is the rating distribution, the counts hold documents,
-    reviews, places in the result, and rejected documents by reason.
-
-    Documents are parsed once; samples and rejects both come from the staged result.
-    """
+    reviews, places in the result, and rejected documents by reason."""
     raw = scan_documents(spark, documents_path, layout=layout)
-    with _duplicate_keys_allowed(spark):
-        sampled = sinks.stage(sampled_documents(raw, cap=cap, seed=seed), "sampled")
+    final, rejects, counts = curated(raw, as_of=as_of, cap=cap, seed=seed, raw_rating=raw_rating)
     if rejects_path:
-        rejected(sampled).write.mode("overwrite").parquet(rejects_path)
-    final = sinks.stage(final_rows(sampled, as_of, raw_rating=raw_rating), "final")
-    written = sinks.write_final(final, final_path)
-    reasons = {f"rejected_{r['reject_reason']}": r["count"] for r in rejected(sampled).groupBy("reject_reason").count().collect()}
-    documents, reviews = sampled.agg(F.count("*"), F.coalesce(F.sum("n_reviews"), F.lit(0))).first()
-    counts = {"documents": documents, "reviews": reviews, "rejected": sum(reasons.values()), **reasons}
-    counts["places"] = sampled.where(F.size("reviews") > 0).count()
-    return Outcome(written, final.count(), value_distribution(final, "user_rating"), counts)
+        rejects.write.mode("overwrite").parquet(rejects_path)
+    written = sinks.write_final(final, final_path, n_rows=counts["rows"])
+    return Outcome(written, counts.pop("rows"), value_distribution(final, "user_rating"), counts)
+
+
+def curated(
+    raw: DataFrame,
+    *,
+    as_of: Column | datetime | date | str | None = None,
+    cap: int = SAMPLE_CAP,
+    seed: int | str = 42,
+    raw_rating: bool = False,
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Scanned documents to the staged final table, the rejects (file, reject_reason), and the counts.
+
+    Documents are parsed once; samples and rejects both come from the staged result. Those that were too large for it, if
+    there are any, are read again by type and go through the table path.
+    """
+    spark = raw.sparkSession
+    by_reason = {f"rejected_{r}": F.count_if(F.col("reject_reason") == r) for r in REASONS}
+    seen = {"documents": F.count("*"), "reviews": F.sum("n_reviews"), "places": F.count_if(F.size("reviews") > 0), **by_reason}
+    with duplicate_keys_allowed(spark):
+        sampled, counts = sinks.stage_counted(sampled_documents(raw, cap=cap, seed=seed), "sampled", **seen)
+        final, rejects = final_rows(sampled, as_of, raw_rating=raw_rating), rejected(sampled)
+        if counts["rejected_too_large"]:
+            large = raw.join(rejects.where("reject_reason = 'too_large'").select("file").distinct(), "file", "left_semi")
+            rows, documents = curate_large_documents(large, as_of=as_of, cap=cap, seed=seed, keep_ids=True, raw_rating=raw_rating)
+            rows = sinks.stage(rows, "large-final")
+            final = final.unionByName(rows.drop("file", "pos"))
+            rejects = rejects.where("reject_reason <> 'too_large'").union(rejected(documents))
+            again = documents.agg(F.coalesce(F.sum("n_reviews"), F.lit(0)).alias("reviews"), *[c.alias(k) for k, c in by_reason.items()]).first()
+            counts = {**counts, **{k: again[k] + (counts[k] if k != "rejected_too_large" else 0) for k in ("reviews", *by_reason)}}
+            counts["places"] += rows.select("file").distinct().count()
+        final, n = sinks.stage_counted(final, "final", rows=F.count("*"))
+    reasons = {k: counts.pop(k) for k in by_reason}
+    counts["rejected"] = sum(reasons.values())
+    return final, rejects, {**counts, **{k: v for k, v in reasons.items() if v}, **n}

@@ -1,7 +1,10 @@
 """Place documents: JSON objects ``{place_info: {...}, reviews: [...]}`` with fields of any type."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.numbers import parse_int, parse_rating
@@ -17,12 +20,20 @@ from reviewloom.functions.variants import (
     variant_to_text,
 )
 from reviewloom.operators.tables import flatten
-
+from reviewloom.sources.store import DocumentStore
 
 #: Names that Spark gives to the files it writes.
 _PART_FILE = r"^part-\d{5}-"
 #: Longest text value that `try_parse_json` takes; VARIANT's own limit is higher.
 LONGEST_TEXT = 20_000_000
+#: Leads the name of a document that is a line of a file, until it is parsed.
+_LINE = "line:"
+#: Types of a document that is too large for one VARIANT.
+_TYPED = "doc struct<place_info variant, reviews array<variant>, doc_key variant>"
+_DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+REASONS = [
+    "invalid_utf8", "malformed_json", "too_large", "not_an_object", "place_info_not_object", "reviews_not_array", "review_not_object",
+]
 
 
 def scan_documents(
@@ -31,25 +42,26 @@ def scan_documents(
     """Read documents as (file, modified, value).
 
     ``layout="file"``: one document per file, the file being its group. ``layout="line"``: one
-    document per line as `sinks.write_documents` leaves them, grouped by their ``doc_key``; a line
-    without one is a group of its own. The default
+    document per line as `sinks.write_documents` leaves them; `parse_documents` names them by their
+    ``doc_key``, and those without one by the digest of the line, whatever files the lines are dealt
+    over. The default
     takes Spark's part files by line and all others by file, so both kinds may lie in one folder.
+    Of a `DocumentStore` committed batches are read only.
     Spark hides files whose names start with ``_`` or ``.``.
     """
     if layout not in ("auto", "file", "line"):
         raise ValueError(f"unknown layout: {layout}")
-    return document_rows(spark.read, path, layout, pattern)
+    return document_rows(spark.read, DocumentStore(spark, path).visible_paths(pattern), layout, pattern)
 
 
-def document_rows(reader, path: str, layout: str, pattern: str) -> DataFrame:
+def document_rows(reader, path: str | list[str], layout: str, pattern: str) -> DataFrame:
     """`scan_documents` with the reader of a batch or of a stream."""
     modified = F.col("_metadata.file_modification_time").alias("modified")
     name, full = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     part = F.regexp_like(name, F.lit(_PART_FILE))
     files = reader.option("pathGlobFilter", pattern).text(path, wholetext=True)
     lines = reader.option("pathGlobFilter", pattern).text(path)
-    alone = F.concat_ws("#", F.sha2("value", 256), name, F.monotonically_increasing_id())
-    by_line = F.coalesce(F.get_json_object("value", "$.doc_key"), alone)
+    by_line = F.concat(F.lit(_LINE), F.sha2("value", 256))
     if layout == "file":
         return files.select(full.alias("file"), modified, "value")
     if layout == "line":
@@ -61,10 +73,32 @@ def document_rows(reader, path: str, layout: str, pattern: str) -> DataFrame:
     )
 
 
+@contextmanager
+def duplicate_keys_allowed(spark: SparkSession) -> Iterator[None]:
+    """A key given twice is no error: its last value counts."""
+    before = spark.conf.get(_DUPLICATE_KEYS)
+    spark.conf.set(_DUPLICATE_KEYS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DUPLICATE_KEYS, before)
+
+
+def _named(key: Column) -> Column:
+    """The name of a document: its file, or of a line its ``doc_key`` if it has one."""
+    return F.when(F.startswith("file", F.lit(_LINE)), F.coalesce(variant_raw(key), "file")).otherwise(F.col("file"))
+
+
+def _is_json() -> Column:
+    """Whether ``value`` is one JSON value and nothing else, read without building it."""
+    return F.json_object_keys(F.concat(F.lit('{"doc":'), "value", F.lit("}"))).eqNullSafe(F.array(F.lit("doc")))
+
+
 def parse_documents(raw: DataFrame) -> DataFrame:
     """Add ``doc`` (VARIANT) and ``reject_reason`` (null for a usable document).
 
-    A document with any malformed part is rejected whole.
+    A document with any malformed part is rejected whole. One that is valid but does not fit a VARIANT (128 MiB) is
+    ``too_large``: `parse_large_documents` reads those.
     """
     # The parser stops after the first value. In an array that goes on with the text's own digest,
     # which no text can hold, the document is all there was if the digest comes second and last.
@@ -89,7 +123,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     is_object = F.startswith(kind, F.lit("OBJECT"))
     reason = (
         F.when(~F.is_valid_utf8("value"), "invalid_utf8")
-        .when(F.col("doc").isNull() & (F.octet_length("value") > LONGEST_TEXT), "too_large_or_malformed")
+        .when(F.col("doc").isNull() & (F.octet_length("value") > LONGEST_TEXT) & _is_json(), "too_large")
         .when(F.col("doc").isNull() | ~whole | beyond, "malformed_json")
         .when(~is_object, "not_an_object")
         .when(info.isNotNull() & ~F.startswith(variant_kind(info), F.lit("OBJECT")), "place_info_not_object")
@@ -97,7 +131,35 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         .when(~F.startswith(reviews_kind, F.lit("ARRAY")), "reviews_not_array")
         .when(~all_objects, "review_not_object")
     )
-    return parsed.withColumn("reject_reason", reason).drop("_wrapped")
+    return parsed.withColumns({"reject_reason": reason, "file": _named(field(F.col("doc"), "doc_key"))}).drop("_wrapped")
+
+
+def parse_large_documents(raw: DataFrame) -> DataFrame:
+    """Documents of any size that a row can hold, read by type: ``place_info`` and each element of ``reviews`` is a VARIANT
+    of its own, so only these are limited to 128 MiB. Adds ``reject_reason`` and takes ``value`` away; a key given twice
+    counts with its last value. Where `parse_documents` accepts a document, fields and reviews are the same.
+    """
+    wrapped = F.concat(F.lit('{"doc":'), "value", F.lit("}"))
+    options = {"maxStringLen": str(2**31 - 1)}
+    typed = raw.withColumn("_typed", F.when(F.is_valid_utf8("value"), F.from_json(wrapped, _TYPED, options))["doc"])
+    keys = F.json_object_keys("value")
+    reviews = F.get_json_object("value", "$.reviews")  # only looked at where there is no array
+    info = F.col("_typed.place_info")
+    objects = F.forall("_typed.reviews", lambda r: F.startswith(variant_kind(r), F.lit("OBJECT")))
+    reason = (
+        F.when(~F.is_valid_utf8("value"), "invalid_utf8")
+        .when(~_is_json(), "malformed_json")
+        .when(keys.isNull(), "not_an_object")
+        .when(info.isNotNull() & ~F.startswith(variant_kind(info), F.lit("OBJECT")), "place_info_not_object")
+        .when(F.array_contains(keys, "place_info") & info.isNull(), "too_large")
+        .when(F.col("_typed.reviews").isNotNull(), F.when(~objects, "review_not_object"))
+        .when(~F.array_contains(keys, "reviews") | reviews.isin("", "{}"), None)
+        .when(F.startswith(reviews, F.lit("[")), "too_large")
+        .otherwise("reviews_not_array")
+    )
+    usable = F.col("reject_reason").isNull()
+    rows = typed.withColumns({"reject_reason": reason, "file": _named(F.col("_typed.doc_key"))}).drop("value")
+    return rows.withColumns({"place_info": F.when(usable, info), "reviews": F.when(usable, F.col("_typed.reviews"))}).drop("_typed")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -118,8 +180,9 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def place_fields(documents: DataFrame) -> DataFrame:
-    """Cleaned place columns of accepted documents; sentinels where a field is absent or no text."""
-    info = field(F.col("doc"), "place_info")
+    """Cleaned place columns of accepted documents (``doc``, or ``place_info`` of `parse_large_documents`); sentinels where a
+    field is absent or no text."""
+    info = F.col("place_info") if "place_info" in documents.columns else field(F.col("doc"), "place_info")
 
     def text(key: str):
         return clean_text(field_as_text(info, key))
@@ -140,11 +203,12 @@ def place_fields(documents: DataFrame) -> DataFrame:
     )
 
 
-def document_reviews(documents: DataFrame, *keep: str) -> DataFrame:
+def document_reviews(documents: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
     """Reviews of documents, one row each: file, pos, user_name, text, time, rating, rating_raw,
-    rating_bucket, and the ``keep`` columns. Blank documents have none."""
-    reviews = F.try_variant_get("doc", "$.reviews", "array<variant>")
-    tall = flatten(documents.withColumn("reviews", reviews), keep=["file", *keep])
+    rating_bucket, and the ``keep`` columns. Blank documents have none, with ``outer`` one row without ``pos``."""
+    if "reviews" not in documents.columns:
+        documents = documents.withColumn("reviews", F.try_variant_get("doc", "$.reviews", "array<variant>"))
+    tall = flatten(documents, keep=["file", *keep], outer=outer)
     r = F.col("review")
     return tall.select(
         "file",

@@ -1,14 +1,13 @@
 """Writers, and staging of results that several steps use.
 
 Every writer looks whether there is anything to write before it touches the target. That look
-runs the plan up to its first row, so `stage` costly results first.
+runs the plan up to its first row, so `stage` costly results first, or give their ``n_rows``.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators.tables import FINAL_COLUMNS, project_order
@@ -37,10 +36,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_places(places: DataFrame, path: str, *, mode: str = "overwrite", order: Sequence[str] = ()) -> bool:
+def stage_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`stage`, and aggregates of the rows that are seen while they are written: no pass of its own counts them."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()]), name)
+    return staged, seen.get
+
+
+def _nothing(df: DataFrame, n_rows: int | None) -> bool:
+    return df.isEmpty() if n_rows is None else n_rows == 0
+
+
+def write_places(
+    places: DataFrame, path: str, *, mode: str = "overwrite", order: Sequence[str] = (), n_rows: int | None = None
+) -> bool:
     """places list as CSV; False, and nothing touched, if there are none. With ``order`` the part
     files and their rows follow it, and `scan_places` gives positions in that order."""
-    if places.isEmpty():
+    if _nothing(places, n_rows):
         return False
     if order:
         places = places.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -48,35 +60,18 @@ def write_places(places: DataFrame, path: str, *, mode: str = "overwrite", order
     return True
 
 
-def write_documents(documents: DataFrame, path: str, *, mode: str = "append") -> bool:
+def write_documents(documents: DataFrame, path: str, *, mode: str = "append", n_rows: int | None = None) -> bool:
     """(doc_key, place_info, reviews) as JSON, one object per line, characters kept as they are."""
-    if documents.isEmpty():
+    if _nothing(documents, n_rows):
         return False
     documents.select("doc_key", "place_info", "reviews").write.mode(mode).json(path, ignoreNullFields=False)
     return True
 
 
-def write_keys(documents: DataFrame, path: str, *, mode: str = "append") -> None:
-    """The keys of documents just written, as a narrow table beside them."""
-    documents.select("doc_key").write.mode(mode).parquet(f"{path.rstrip('/')}.keys")
-
-
-def written_keys(spark: SparkSession, path: str, *, rebuild: bool = False) -> DataFrame:
-    """Keys of the documents `write_documents` has left under ``path``: from the table of keys, or
-    by reading all documents where that is not there or ``rebuild`` is asked for."""
-    if not rebuild:
-        try:
-            return spark.read.schema("doc_key string").parquet(f"{path.rstrip('/')}.keys")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return spark.read.schema("doc_key string").json(path)
-
-
-def write_final(final: DataFrame, path: str, *, mode: str = "overwrite") -> bool:
+def write_final(final: DataFrame, path: str, *, mode: str = "overwrite", n_rows: int | None = None) -> bool:
     """Final table as CSV with a byte order mark, so that spreadsheets read it as UTF-8. Every
     part file has its header and its mark. ``user_rating_raw`` comes last if it is there."""
-    if final.isEmpty():
+    if _nothing(final, n_rows):
         return False
     ordered = project_order(final, [*FINAL_COLUMNS, "user_rating_raw"])
     first = ordered.columns[0]
