@@ -4,13 +4,13 @@ Of a group's ``n`` rows, ``min(n, cap)`` are taken: up to ``cap // 5`` at random
 then the free places from all other rows at random. "At random" is the order of a seeded hash
 of the row's id, so a run can be repeated under any partitioning.
 
-The choice is made on (group, star, id) alone; wide rows are fetched afterwards by id.
-Two facts keep it small. Ordered by the second hash, the first ``cap`` rows of a group hold every
-row the free places can need: the row at place ``k`` among the left-overs has fewer than ``k``
-left-overs before it, and the other rows before it are all among those taken from the stars. And
-a group of at most ``cap`` rows is within its first ``cap``, so it comes out whole without a
-special case. Hence each row is entered once for its star and once for the group, and each entry
-list needs its first ``cap`` rows only.
+The choice is made on (group, star, id) alone; wide rows are fetched afterwards by id. It is one aggregation whose
+state is a few short lists: the ``cap // 5`` least hashes of each star and the ``cap`` least of the group by the other
+hash. Map tasks cut their rows to these lists, the lists are merged behind a single exchange, and a group of any size costs
+at most two times ``cap`` entries a map task. The lists hold all that is needed: the row at place ``k`` among the
+left-overs has fewer than ``k`` left-overs before it, and the other rows before it are all among those taken from the stars,
+so the free places are within the first ``cap`` of the group. A group of at most ``cap`` rows is within its first
+``cap`` too and comes out whole without a special case.
 """
 from __future__ import annotations
 
@@ -19,10 +19,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction  # Spark's own aggregate of the k least values has no public name
 
 from reviewloom.functions.numbers import STARS
 
-_ANY = -1  # entry list of the whole group
+_BUCKET_BITS, _BITS_PER_ENTRY, _HASHES = 1 << 15, 32, 4
 
 
 def hash_key(seed: int | str, purpose: str, *ids: str | Column) -> Column:
@@ -34,69 +35,30 @@ def _text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def choose_sample(
-    df: DataFrame,
-    group: str,
-    star: str,
-    row_id: str,
-    cap: int,
-    *,
-    seed: int | str = 42,
-    splits: int = 256,
-) -> DataFrame:
+def choose_sample(df: DataFrame, group: str, star: str, row_id: str, cap: int, *, seed: int | str = 42) -> DataFrame:
     """The chosen rows as (group, id). ``id`` must be unique in its group; a null group is a group,
     a null id an id."""
     core_cap = cap // len(STARS)
+    if not cap:
+        return df.select(group, row_id).where(F.lit(False))
 
-    def entry(slot: Column, purpose: str) -> Column:
+    def entry(purpose: str) -> Column:
         # As bytes: half as long as the hex text, and in the same order.
-        return F.struct(slot.alias("slot"), F.unhex(hash_key(seed, purpose, group, row_id)).alias("h"))
-
-    core_entry, any_entry = entry(F.col(star).cast("int"), "core"), entry(F.lit(_ANY), "fill")
-    is_star = F.col(star).isin(*STARS) if core_cap else F.lit(False)
-
-    entries = (
-        df.select(group, star, row_id)
-        .select(
-            group,
-            row_id,
-            F.explode(F.when(is_star, F.array(core_entry, any_entry)).otherwise(F.array(any_entry))).alias("e"),
-        )
-        .select(group, row_id, "e.slot", "e.h")
-        # Every map task belongs to one split, so Spark's map-side limit cuts what it sends to
-        # `cap` rows per list, and a huge group is ranked by `splits` tasks. The result does not
-        # depend on the split.
-        .withColumn("_split", F.spark_partition_id() % splits)
-    )
-    per_split = Window.partitionBy(group, "slot", "_split").orderBy("h", row_id)
-    survivors = (
-        entries.withColumn("_rn", F.row_number().over(per_split))
-        .where(F.col("_rn") <= cap)
-        .where((F.col("slot") == _ANY) | (F.col("_rn") <= core_cap))
-    )
-
-    # One exchange by group serves all that follows.
-    per_list = Window.partitionBy(group, "slot").orderBy("h", row_id)
-    ranked = (
-        survivors.drop("_rn", "_split")
-        .repartition(group)
-        .withColumn("rank", F.row_number().over(per_list))
-        .where(F.col("rank") <= F.when(F.col("slot") == _ANY, cap).otherwise(core_cap))
-    )
-    merged = ranked.groupBy(group, row_id).agg(
-        F.max(F.when(F.col("slot") != _ANY, 1).otherwise(0)).alias("core"),
-        F.min(F.when(F.col("slot") == _ANY, F.col("rank"))).alias("fill_rank"),
-    )
-    fill_order = Window.partitionBy(group, "core").orderBy("fill_rank")
-    return (
-        merged.withColumn("_taken", F.sum("core").over(Window.partitionBy(group)))
-        .withColumn("_place", F.row_number().over(fill_order))
-        .where((F.col("core") == 1) | (F.col("_place") <= F.lit(cap) - F.col("_taken")))
-        .select(group, row_id)
-    )
-
-
-def fetch(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return F.struct(F.unhex(hash_key(seed, purpose, group, row_id)).alias("h"), F.col(row_id).alias("id"))
+
+    def least(e: Column, n: int) -> Column:
+        return InternalFunction.collect_top_k(e, n, True)
+
+    entries = df.select(group, F.col(star).alias("_star"), entry("core").alias("_core"), entry("fill").alias("_fill"))
+    stars = [least(F.when(F.col("_star") == s, F.col("_core")), core_cap).alias(f"_star{s}") for s in STARS] if core_cap else []
+    lists = entries.groupBy(group).agg(least(F.col("_fill"), cap).alias("_fill"), *stars)
+    ids = [F.transform(f"_star{s}", lambda e: e["id"]) for s in STARS] if core_cap else [F.array_compact(F.array(F.lit(None).cast(df.schema[row_id].dataType)))]
+    core = lists.select(group, F.concat(*ids).alias("_core"), F.transform(F.sort_array("_fill"), lambda e: e["id"]).alias("_fill"))
+    free = F.slice(F.array_except("_fill", "_core"), F.lit(1), F.greatest(F.lit(cap) - F.size("_core"), F.lit(0)))
+    return core.select(group, F.explode(F.concat("_core", free)).alias(row_id))
+
+
+def fetch(df: DataFrame, chosen: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose ``keys``, null included, occur in ``chosen``.
 
     ``chosen`` is narrow and small beside ``df``: Spark broadcasts it where its size allows, and
@@ -104,22 +66,46 @@ def fetch(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     other = chosen.select(*(F.col(k).alias(f"_chosen_{k}") for k in keys))
     same = [F.col(k).eqNullSafe(F.col(f"_chosen_{k}")) for k in keys]
-    return df.join(other, reduce(lambda a, b: a & b, same), "left_semi")
-
-
-def stratified_sample(
-    df: DataFrame,
-    group: str,
-    star: str,
-    row_id: str,
-    cap: int,
-    *,
-    seed: int | str = 42,
-    splits: int = 256,
-) -> DataFrame:
+    return df.join(other, reduce(lambda a, b: a & b, same), how).select(*(df[c] for c in df.columns))
+
+
+def _bits(keys: Sequence[str], n_buckets: int) -> tuple[Column, Column]:
+    """Bucket of a row's keys, and the positions of its bits there, from one 64-bit hash."""
+    h = F.xxhash64(*keys)
+    places = [F.shiftrightunsigned(h, 15 * i).bitwiseAND(_BUCKET_BITS - 1) for i in range(_HASHES)]
+    return F.pmod(F.xxhash64(h), F.lit(n_buckets)), F.array(*places)
+
+
+def may_hold(df: DataFrame, chosen: DataFrame, keys: Sequence[str], n_chosen: int) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` may occur among the ``n_chosen`` of ``chosen``: all that do, and few others.
+
+    A Bloom filter in buckets of 32,768 bits, four bits an entry, built by an aggregate and broadcast: 32 bits for each entry.
+    """
+    n_buckets = max(1, -(-n_chosen * _BITS_PER_ENTRY // _BUCKET_BITS))
+    bucket, places = _bits(keys, n_buckets)
+    bits = chosen.select(bucket.alias("_bucket"), F.explode(places).alias("_place"))
+    filters = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bitmap"))
+    joined = df.withColumns({"_bucket": bucket, "_places": places}).join(F.broadcast(filters), "_bucket")
+
+    def is_set(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (place % 8 + 1).cast("int"))) != 0
+
+    every = reduce(lambda a, b: a & b, [is_set(F.get("_places", F.lit(i))) for i in range(_HASHES)])
+    return joined.where(every).select(*df.columns)
+
+
+def fetch_stored(df: DataFrame, chosen: DataFrame, keys: Sequence[str], n_chosen: int, *, filter_bytes: int = 128 << 20) -> DataFrame:
+    """`fetch` for a stored ``chosen`` of ``n_chosen`` distinct rows: what cannot be among them is dropped before it is
+    shuffled, as long as the filter for that takes at most ``filter_bytes``."""
+    if n_chosen * _BITS_PER_ENTRY // 8 <= filter_bytes:
+        df = may_hold(df, chosen, keys, n_chosen)
+    return fetch(df, chosen, keys, "inner")  # a semi join would be moved below the filter
+
+
+def stratified_sample(df: DataFrame, group: str, star: str, row_id: str, cap: int, *, seed: int | str = 42) -> DataFrame:
     """Whole rows of the balanced sample; see the module text."""
-    chosen = choose_sample(df, group, star, row_id, cap, seed=seed, splits=splits)
-    return fetch(df, chosen, [group, row_id])
+    return fetch(df, choose_sample(df, group, star, row_id, cap, seed=seed), [group, row_id])
 
 
 def with_shuffle_rank(df: DataFrame, *ids: str, seed: int | str = 42) -> DataFrame:

@@ -28,8 +28,6 @@ _PART_FILE = r"^part-\d{5}-"
 LONGEST_TEXT = 20_000_000
 #: Leads the name of a document that is a line of a file, until it is parsed.
 _LINE = "line:"
-#: Types of a document that is too large for one VARIANT.
-_TYPED = "doc struct<place_info variant, reviews array<variant>, doc_key variant>"
 _DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 REASONS = [
     "invalid_utf8", "malformed_json", "too_large", "not_an_object", "place_info_not_object", "reviews_not_array", "review_not_object",
@@ -98,7 +96,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     """Add ``doc`` (VARIANT) and ``reject_reason`` (null for a usable document).
 
     A document with any malformed part is rejected whole. One that is valid but does not fit a VARIANT (128 MiB) is
-    ``too_large``: `parse_large_documents` reads those.
+    ``too_large``: `explode_large_documents` reads those.
     """
     # The parser stops after the first value. In an array that goes on with the text's own digest,
     # which no text can hold, the document is all there was if the digest comes second and last.
@@ -134,32 +132,50 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     return parsed.withColumns({"reject_reason": reason, "file": _named(field(F.col("doc"), "doc_key"))}).drop("_wrapped")
 
 
-def parse_large_documents(raw: DataFrame) -> DataFrame:
-    """Documents of any size that a row can hold, read by type: ``place_info`` and each element of ``reviews`` is a VARIANT
-    of its own, so only these are limited to 128 MiB. Adds ``reject_reason`` and takes ``value`` away; a key given twice
-    counts with its last value. Where `parse_documents` accepts a document, fields and reviews are the same.
+def explode_large_documents(raw: DataFrame, *keep: str) -> DataFrame:
+    """Documents of any size that a row can hold, read by type: ``place_info`` and each review is a VARIANT of its own, so only
+    these are limited to 128 MiB. A key given twice counts with its last value.
+
+    One row per review, one without ``pos`` for a document without any: ``row`` (the document), ``raw_file``, ``file``, the ``keep``
+    columns, what `large_reason` looks at, place columns, and the columns of `document_reviews`. The parser's reviews
+    go into rows one by one; no array of them is built. Read them from a stored table: numbers of rows may change.
     """
-    wrapped = F.concat(F.lit('{"doc":'), "value", F.lit("}"))
     options = {"maxStringLen": str(2**31 - 1)}
-    typed = raw.withColumn("_typed", F.when(F.is_valid_utf8("value"), F.from_json(wrapped, _TYPED, options))["doc"])
-    keys = F.json_object_keys("value")
-    reviews = F.get_json_object("value", "$.reviews")  # only looked at where there is no array
-    info = F.col("_typed.place_info")
-    objects = F.forall("_typed.reviews", lambda r: F.startswith(variant_kind(r), F.lit("OBJECT")))
-    reason = (
-        F.when(~F.is_valid_utf8("value"), "invalid_utf8")
-        .when(~_is_json(), "malformed_json")
+    value = F.when(F.is_valid_utf8("value"), F.col("value"))
+    head = raw.select(
+        F.monotonically_increasing_id().alias("row"), "file", *keep, value.alias("value"), value.isNotNull().alias("is_utf8"), _is_json().alias("is_json"),
+        F.json_object_keys(value).alias("keys"), F.from_json(value, "place_info variant, doc_key variant", options).alias("head"),
+    ).withColumn("place_info", F.col("head.place_info"))
+    head = place_fields(head).withColumns({"name": _named(F.col("head.doc_key")), "info_kind": variant_kind(F.col("place_info"))})
+    places = [c for c in head.columns if c.startswith("place_") and c != "place_info"]
+    state = ["is_utf8", "is_json", "keys", "info_kind"]
+    reviews = F.from_json("value", "reviews array<variant>", options)["reviews"]
+    tall = head.select("row", F.col("file").alias("raw_file"), F.col("name").alias("file"), *keep, *state, *places, F.posexplode_outer(reviews).alias("pos", "review"))
+    is_object = F.startswith(variant_kind(F.col("review")), F.lit("OBJECT"))
+    return tall.select("row", "raw_file", "file", *keep, *state, *places, F.col("pos").cast("bigint"), *_review_columns(F.col("review")), is_object.alias("is_object"))
+
+
+def reviews_kind(raw: DataFrame) -> DataFrame:
+    """(file, reviews_kind): SQL type of what documents without elements in ``reviews`` hold there; null if it is too large."""
+    reviews = F.from_json("value", "reviews variant", {"maxStringLen": str(2**31 - 1)})["reviews"]
+    kind = F.when(variant_to_text(reviews) == "", "EMPTY").otherwise(variant_kind(reviews))
+    return raw.select("file", kind.alias("reviews_kind"))
+
+
+def large_reason(n_reviews: Column, all_objects: Column, kind: Column) -> Column:
+    """Why a document of `explode_large_documents` is rejected; as `parse_documents` says where that holds it."""
+    keys = F.col("keys")
+    return (
+        F.when(~F.col("is_utf8"), "invalid_utf8")
+        .when(~F.col("is_json"), "malformed_json")
         .when(keys.isNull(), "not_an_object")
-        .when(info.isNotNull() & ~F.startswith(variant_kind(info), F.lit("OBJECT")), "place_info_not_object")
-        .when(F.array_contains(keys, "place_info") & info.isNull(), "too_large")
-        .when(F.col("_typed.reviews").isNotNull(), F.when(~objects, "review_not_object"))
-        .when(~F.array_contains(keys, "reviews") | reviews.isin("", "{}"), None)
-        .when(F.startswith(reviews, F.lit("[")), "too_large")
-        .otherwise("reviews_not_array")
+        .when(~F.startswith("info_kind", F.lit("OBJECT")), "place_info_not_object")
+        .when(F.array_contains(keys, "place_info") & F.col("info_kind").isNull(), "too_large")
+        .when(n_reviews > 0, F.when(~all_objects, "review_not_object"))
+        .when(~F.array_contains(keys, "reviews") | kind.isin("EMPTY", "OBJECT<>"), None)
+        .when(kind.isNull(), "too_large")
+        .when(~F.startswith(kind, F.lit("ARRAY")), "reviews_not_array")
     )
-    usable = F.col("reject_reason").isNull()
-    rows = typed.withColumns({"reject_reason": reason, "file": _named(F.col("_typed.doc_key"))}).drop("value")
-    return rows.withColumns({"place_info": F.when(usable, info), "reviews": F.when(usable, F.col("_typed.reviews"))}).drop("_typed")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -180,7 +196,7 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def place_fields(documents: DataFrame) -> DataFrame:
-    """Cleaned place columns of accepted documents (``doc``, or ``place_info`` of `parse_large_documents`); sentinels where a
+    """Cleaned place columns of accepted documents (``doc``, or ``place_info``); sentinels where a
     field is absent or no text."""
     info = F.col("place_info") if "place_info" in documents.columns else field(F.col("doc"), "place_info")
 
@@ -203,21 +219,20 @@ def place_fields(documents: DataFrame) -> DataFrame:
     )
 
 
-def document_reviews(documents: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
-    """Reviews of documents, one row each: file, pos, user_name, text, time, rating, rating_raw,
-    rating_bucket, and the ``keep`` columns. Blank documents have none, with ``outer`` one row without ``pos``."""
-    if "reviews" not in documents.columns:
-        documents = documents.withColumn("reviews", F.try_variant_get("doc", "$.reviews", "array<variant>"))
-    tall = flatten(documents, keep=["file", *keep], outer=outer)
-    r = F.col("review")
-    return tall.select(
-        "file",
-        "pos",
+def _review_columns(r: Column) -> list[Column]:
+    return [
         field_as_text(r, "user_name").alias("user_name"),
         field_as_text(r, "text").alias("text"),
         field_as_text(r, "time").alias("time"),
         variant_rating(field(r, "rating")).alias("rating"),
         variant_raw(field(r, "rating")).alias("rating_raw"),
         variant_rating_bucket(field(r, "rating")).alias("rating_bucket"),
-        *keep,
-    )
+    ]
+
+
+def document_reviews(documents: DataFrame, *keep: str) -> DataFrame:
+    """Reviews of documents, one row each: file, pos, user_name, text, time, rating, rating_raw,
+    rating_bucket, and the ``keep`` columns. Blank documents have none."""
+    reviews = F.try_variant_get("doc", "$.reviews", "array<variant>")
+    tall = flatten(documents.withColumn("reviews", reviews), keep=["file", *keep])
+    return tall.select("file", "pos", *_review_columns(F.col("review")), *keep)

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from reviewloom.operators.dedup import first_positions, keep_first, signature
-from reviewloom.operators.sample import choose_sample, first_n, stratified_sample
+from reviewloom.operators.sample import choose_sample, fetch_stored, first_n, may_hold, stratified_sample
 from reviewloom.plans.curate import curate_documents, curate_reviews
 from reviewloom.sources.documents import accepted, document_reviews, parse_documents, place_fields
 
@@ -80,11 +80,11 @@ def test_sample_against_brute_force(spark, groups, cap):
         assert sample(spark, rows, cap) == brute_force(rows, cap)
 
 
-def test_sample_does_not_depend_on_partitions_or_splits(spark):
+def test_sample_does_not_depend_on_partitions(spark):
     rows = rows_of((300, 10, 60, 0, 900, 50)) + rows_of((1, 2, 3, 4, 5, 6), "g")
     expected = brute_force(rows, 50)
-    for parts, splits in ((1, 1), (7, 2), (16, 256)):
-        assert sample(spark, rows, 50, parts=parts, splits=splits) == expected
+    for parts in (1, 7, 16):
+        assert sample(spark, rows, 50, parts=parts) == expected
     assert sample(spark, rows, 50, seed=1) == brute_force(rows, 50, seed=1) != expected
 
 
@@ -99,8 +99,56 @@ def test_hot_group_is_cut_before_the_shuffle(spark):
     )
     out = stratified_sample(df, "file", "rating_bucket", "pos", 100)
     assert {r.file: r["count"] for r in out.groupBy("file").count().collect()} == {"hot": 100, "small": 100}
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Partial" in plan and "WindowGroupLimit" in plan
+    chosen = choose_sample(df, "file", "rating_bucket", "pos", 100)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_collect_top_k" in plan
+
+
+def shuffled_bytes(spark, df):
+    """Bytes that the write of ``df`` shuffles, from Spark's own metrics of its stages."""
+    store = spark._jsc.sc().statusStore()
+    known = {s.stageId() for s in iterate(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    df.write.format("noop").mode("overwrite").save()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = iterate(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    return sum(s.shuffleWriteBytes() for s in stages if s.stageId() not in known)
+
+
+def iterate(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_rows_that_cannot_win_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 256) for k in range(40)])
+        reviews = spark.range(20_000, numPartitions=4).select(
+            F.concat(F.lit("f"), (F.col("id") % 5).cast("string")).alias("file"), F.col("id").alias("pos"), F.lit("u").alias("user_name"),
+            text.alias("text"), F.lit("").alias("time"), F.lit(3).alias("rating"), F.lit(3).alias("rating_bucket"),
+        )
+        out = curate_reviews(reviews, as_of="2024-01-30", cap=150, keep_ids=True)
+        rows = out.collect()
+        assert len(rows) == 750
+        assert shuffled_bytes(spark, out) < 2 * sum(len(r.review_text) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_filter_loses_nothing_and_lets_little_through(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(200_000).select((F.col("id") % 1000).cast("string").alias("file"), F.when(F.col("id") > 0, F.col("id")).alias("pos"))
+    for chosen in (df.where("pos % 40 = 3"), df.where("pos is null"), df.limit(0)):
+        n = chosen.count()
+        kept = may_hold(df, chosen, ["file", "pos"], n)
+        assert kept.join(chosen, (kept.file == chosen.file) & kept.pos.eqNullSafe(chosen.pos), "left_semi").count() == n
+        assert kept.count() <= n + 200
+        exact = {tuple(r) for r in chosen.collect()}
+        for limit in (0, 1 << 20):
+            assert {tuple(r) for r in fetch_stored(df, chosen, ["file", "pos"], n, filter_bytes=limit).collect()} == exact
 
 
 def test_keep_first(spark):
