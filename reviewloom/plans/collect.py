@@ -23,7 +23,7 @@ def places_to_do(places: DataFrame, done: DataFrame | None = None) -> DataFrame:
 
 def wanted_pages(todo: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that some place left to do refers to. Spark broadcasts the URLs where their size
-    allows; where they are many, keep pages bucketed by url, so that this shuffles no HTML."""
+    allows; where they are many, pages of a store (`sources.pages`) are read by bucket, and no HTML is shuffled."""
     return pages.join(todo.select(F.col("gmaps_url").alias("url")), "url", "left_semi")
 
 

@@ -18,6 +18,7 @@ from reviewloom.plans.collect import collect_pages, list_places
 from reviewloom.plans.curate import SAMPLE_CAP, curate_large_documents, final_rows, sampled_documents
 from reviewloom.sources import sinks
 from reviewloom.sources.documents import REASONS, duplicate_keys_allowed, rejected, scan_documents
+from reviewloom.sources.pages import read_pages
 from reviewloom.sources.places import COMPLETE, read_places, write_places_copy
 from reviewloom.sources.store import DocumentStore
 
@@ -48,7 +49,7 @@ def collect_job(
     spark: SparkSession, places_path: str, pages_path: str, documents_path: str, *, card_cap: int = CARD_CAP,
     newest: str | None = None, unusable_path: str | None = None,
 ) -> Outcome:
-    """Places list and stored pages to documents, added as one batch to the `DocumentStore` at ``documents_path``.
+    """Places list and stored pages (Parquet, or a store of `write_page_store`) to documents, added as one batch to the `DocumentStore` at ``documents_path``.
 
     The batch becomes visible with its last write, so a job that is stopped anywhere and run again gives each key once.
     Places without a name, a URL or a key go to ``unusable_path`` with the reason, and are counted in any case;
@@ -62,7 +63,7 @@ def collect_job(
         listed.where("reason is not null").select("place_name", "gmaps_url", "reason").write.mode("overwrite").parquet(unusable_path)
     todo = keep_first(skip_done(listed.where("reason is null").drop("reason"), store.keys()), ["doc_key", "gmaps_url"], ["pos"])
     todo, m = sinks.stage_counted(todo, "to-do", places_to_do=F.count("*"))
-    documents = collect_pages(todo, spark.read.parquet(pages_path), card_cap=card_cap, newest=newest)
+    documents = collect_pages(todo, read_pages(spark, pages_path), card_cap=card_cap, newest=newest)
     documents, found = sinks.stage_counted(documents, "documents", documents=F.count("*"), reviews=F.sum(F.size("reviews")))
     written = store.commit(documents, counts=found)
     return Outcome(written, found["documents"], documents.selectExpr("doc_key", "size(reviews) as n_reviews"), {**n, **m, **found})

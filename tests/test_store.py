@@ -215,3 +215,30 @@ def test_stream_takes_committed_batches(spark, tmp_path, collected):
         return spark.read.parquet(final).count()
 
     assert run() == run() == 4
+
+
+def test_pages_of_a_store_are_not_shuffled(spark, tmp_path):
+    from reviewloom.plans.collect import collect_documents, places_to_do, wanted_pages
+    from reviewloom.sources.pages import read_pages, write_page_store
+
+    stored, path = pages(spark, *[place(card(text=f"t{i}")) for i in range(30)]), str(tmp_path / "store")
+    stored.write.parquet(str(tmp_path / "plain"))
+    listed = spark.createDataFrame([(i, f"P{i}", f"https://m/{i}") for i in range(0, 30, 3)], "pos bigint, place_name string, gmaps_url string")
+    write_page_store(stored, path, 4)
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("pages_")]:
+        spark.sql(f"DROP TABLE {name}")  # as another session finds it
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, plain = read_pages(spark, path), read_pages(spark, str(tmp_path / "plain"))
+        exchanged = []
+        for table in (got, plain):
+            plan = wanted_pages(places_to_do(listed), table)._jdf.queryExecution().executedPlan().toString()
+            exchanged.append(plan.count("Exchange hashpartitioning"))
+        assert exchanged == [1, 2] and "Bucketed: true" in wanted_pages(places_to_do(listed), got)._jdf.queryExecution().toString()
+        assert sorted(map(str, collect_documents(listed, got).collect())) == sorted(map(str, collect_documents(listed, plain).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sinks.write_places(listed, str(tmp_path / "places"))
+    assert jobs.collect_job(spark, str(tmp_path / "places"), path, str(tmp_path / "docs")).n_rows == 10
+    spark.sql(f"DROP TABLE {[t.name for t in spark.catalog.listTables() if t.name.startswith('pages_')][0]}")
