@@ -1,12 +1,18 @@
 """Main text of web pages by text-to-tag ratio over parser events (operator 2).
 
 The standard library's parser streams events; they are cut into lines, one per block element, each with its text, the tags
-it took and the path of elements around it. Parts that never are article text (menus, headers and footers of the page,
-sidebars, forms, scripts) are left out by element or role. The ratio of
-text to tags of the remaining lines is smoothed with a Gaussian and split into two clusters; the lines above the split
-are the content regions. Parts whose class or id names them adverts, notices, menus and the like are left out if they hold
-none of these lines or, together, a minor share of their text; reader comments always. All remaining blocks are returned, short ones too; on a page with <article> or <main>, lines
-outside those that are no heading, lie below the split and have all their letters in links (menus) are left out.
+it took and the path of elements around it. The ratio of text to tags of the lines is smoothed with a Gaussian and split into
+two clusters; the lines above the split are the content.
+
+1. Scripts, controls and the like never count. Menus, headers, footers, sidebars, forms, dialogs and hidden parts, by element, role
+   or style, are left out, unless the page is inside them: they hold all its articles and mains, or all its h1, or, where
+   there are none of these outside, half of its prose or more.
+2. Parts whose class or id names them adverts, notices, menus and the like go as soon as anything but headings is left; a name
+   counts if its first or last word is a mark. If nothing is left, those that hold content lines stay. A mark on what holds
+   an h1, main or article is none. Reader comments go in any case, unless they hold the page's h1 or main.
+3. Lines with all their letters in links go outside <article> and <main>. On pages without these, the clusters choose the region:
+   such lines stay from the first content line or heading to the last. Headings stay. All other blocks are returned, short
+   ones too; where nothing else is left, link lines are.
 
 White space (HTML's and other) inside a block becomes one space; character references are decoded; blocks are joined by
 an empty line. Null, empty and text-free pages give an empty text. Markup that is broken or nested without end is read
@@ -31,9 +37,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input label fieldset legend "
-    "iframe object embed canvas svg math audio video map dialog menu noframes datalist output progress meter search".split()
+    "script style noscript template head title button select option textarea input label legend "
+    "iframe object embed canvas svg math audio video map noframes datalist output progress meter".split()
 )
+#: Left out unless the page is inside them.
+ASIDE = frozenset("nav header footer aside form fieldset dialog menu search".split())
 ENDS_P = BLOCKS - {"body", "caption", "head", "html", "legend", "optgroup", "option", "summary", "tbody", "td", "template", "tfoot", "th", "thead", "title", "tr"}
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -49,7 +57,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 # Words of class and id that mark parts outside the article, and words that may stand beside them in one name.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies copyright disclaimer disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices "
+    "adsbygoogle consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices "
     "pagination pager popup privacy promo promos promoted promotion recommended related respond replies reply share sharing sidebar sidebars "
     "signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
@@ -60,14 +68,15 @@ NEUTRAL = frozenset(
 #: Of these, parts that stay out however much of the page they hold.
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
 KNOWN = MARKS | NEUTRAL
+#: Marks that count only beside known words, and words that make a name tell the state of the page instead of a part of it.
+TOPICS = frozenset(["social"])
+STATES = frozenset("has with without no is not open opened closed enabled disabled allowed off".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _LETTER = re.compile(r"[^\W_]")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
-#: Share of the content that marked parts may hold and still be left out.
-MINOR = 0.2
 #: Letters a tag of prose, where a page has no poorer lines to compare with.
 PROSE = 10.0
 #: Text, tags in it, number of the element around it, whether all its letters are in links.
@@ -75,12 +84,13 @@ Line = tuple[str, int, int, bool]
 
 
 def _mark(names: str) -> str:
-    """The mark that a class or id gives: of its names only those count whose words are all marks or neutral."""
+    """The mark that a class or id gives: of each of its names the first or last word counts."""
     found = set()
     for name in names.split():
-        words = {w.lower() for w in _WORDS.findall(name)}
-        if words <= KNOWN:
-            found |= words & MARKS
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and not STATES.intersection(words):
+            known = KNOWN.issuperset(words)
+            found |= {w for w in (words if known else (words[0], words[-1])) if w in MARKS and (known or w not in TOPICS)}
     return "readers" if found & READERS else "marked" if found else ""
 
 
@@ -98,6 +108,7 @@ class Lines(HTMLParser):
         self.parents: list[int] = [-1]
         self.names: list[str] = [""]
         self.marks: list[str] = [""]  # class words that may leave the element out
+        self.aside: list[bool] = [False]  # whether element, role or style may
 
     def _flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -111,10 +122,10 @@ class Lines(HTMLParser):
 
     def _push(self, tag, attrs):
         parent = self.open[-1] if self.open else ("", 0, False)
-        outside, mark = parent[2], ""
+        outside, mark, aside = parent[2], "", False
         if not outside:
             given = {k: v or "" for k, v in attrs}
-            outside = tag in DROPPED or self._hidden(tag, given)
+            outside, aside = tag in DROPPED, self._aside(tag, given)
             if tag not in ("html", "body", "article", "main"):
                 mark = _mark(f"{given.get('class', '')} {given.get('id', '')}")
             elif tag == "article" and _mark(given.get("class", "")) == "readers":
@@ -124,6 +135,7 @@ class Lines(HTMLParser):
         self.parents.append(parent[1])
         self.names.append("link" if tag == "a" and any(k == "href" for k, _ in attrs) else tag)
         self.marks.append(mark)
+        self.aside.append(aside)
 
     def _pop(self):
         tag = self.open.pop()[0]
@@ -131,8 +143,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.tags += 1
 
-    def _hidden(self, tag, given) -> bool:
-        if tag == "header" and not self.places.get("article") and not self.places.get("main"):
+    def _aside(self, tag, given) -> bool:
+        if tag in ASIDE and not (tag == "header" and (self.places.get("article") or self.places.get("main"))):
             return True
         if given.get("role", "").lower().strip() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
             return True
@@ -201,6 +213,8 @@ class Lines(HTMLParser):
                 self.linked = bool(link) and self.names[self.open[link[-1]][1]] == "link"
 
     def end(self):
+        if self.rawdata.startswith("<!--"):  # a comment without an end takes the rest
+            self.rawdata = ""
         self.close()
         self._flush()
 
@@ -237,29 +251,37 @@ def _sums(page: Lines, weights: list[tuple[int, float]]) -> list[float]:
     return below
 
 
-def _outside_removed(page: Lines) -> list[Line]:
-    """The lines outside parts marked by class.
+def _beside_removed(page: Lines) -> list[Line]:
+    """The lines outside of menus, headers and other parts that element, role or style take out, as long as the page is not in them."""
 
-    Parts of readers are out unless they hold the page's h1 or main. Of other marked parts those are out that hold no line above
-    the split, and all if together they hold under ``MINOR`` of the text above it. A mark on what holds the page's
-    heading or article is none; on a page without those, marks on all of it are none.
-    """
+    def held(names) -> list[float]:
+        return _sums(page, [(i, 1) for i, name in enumerate(page.names) if name in names and page.marks[i] != "readers"])
+
+    bodies, titles = held(("article", "main")), held(("h1",))
+    prose = _sums(page, [(x[2], len(x[0])) for x in page.lines if not x[3]])
+    out = [False] * len(page.names)
+    for i in range(1, len(out)):
+        whole = bodies[i] == bodies[0] if bodies[0] else titles[i] == titles[0] and 2 * prose[i] >= prose[0]
+        out[i] = out[page.parents[i]] or page.aside[i] and not (whole or titles[0] and titles[i] == titles[0])
+    return [x for x in page.lines if not out[x[2]]]
+
+
+def _marked_removed(page: Lines, lines: list[Line]) -> list[Line]:
+    """The lines outside parts marked by class."""
     heads = _sums(page, [(i, 1) for i, name in enumerate(page.names) if name in ("h1", "main", "article") and page.marks[i] != "readers"])
     own = _sums(page, [(i, 1) for i, name in enumerate(page.names) if name in ("h1", "main")])
     readers, part = [False] * len(page.names), [0] * len(page.names)  # part: the outermost marked element around
     for i in range(1, len(part)):
         readers[i] = readers[page.parents[i]] or page.marks[i] == "readers" and not own[i]
         part[i] = part[page.parents[i]] or (i if page.marks[i] == "marked" and not heads[i] else 0)
-    lines = [x for x in page.lines if not readers[x[2]]]
-    if lines and any(part[x[2]] for x in lines):
-        size = np.array([len(x[0]) for x in lines], float)
-        size[~_content(lines, PROSE)] = 0
-        of = np.array([part[x[2]] for x in lines])
-        rich = set(of[(size > 0) & (of > 0)].tolist())
-        if size[of > 0].sum() < MINOR * size.sum():
-            rich = set()
-        lines = [x for x in lines if not part[x[2]] or part[x[2]] in rich]
-    return lines if lines or heads[0] else page.lines
+    kept = [x for x in lines if not readers[x[2]]]
+    if kept and any(part[x[2]] for x in kept):
+        heading = _below(page, HEADINGS)
+        rich: set[int] = set()
+        if not any(not (part[x[2]] or heading[x[2]] or x[3]) for x in kept):
+            rich = {part[x[2]] for x, content in zip(kept, _content(kept, PROSE)) if content}
+        kept = [x for x in kept if not part[x[2]] or part[x[2]] in rich]
+    return kept if kept or heads[0] else lines
 
 
 def _below(page: Lines, names) -> list[bool]:
@@ -285,14 +307,17 @@ def main_blocks(html: str | None) -> list[str]:
     page = Lines()
     page.feed(html)
     page.end()
-    lines = _outside_removed(page)
+    lines = _marked_removed(page, _beside_removed(page))
     if not lines:
         return []
-    content = _content(lines)
-    article, heading = _below(page, ("article", "main")), _below(page, HEADINGS)
-    if not any(article[x[2]] for x in lines):
-        return [x[0] for x in lines]
-    return [x[0] for x, rich in zip(lines, content) if rich or article[x[2]] or heading[x[2]] or not x[3]]
+    content, heading = _content(lines), _below(page, HEADINGS)
+    inside = _below(page, ("article", "main"))
+    stays = [inside[x[2]] for x in lines]
+    if not any(stays):
+        region = [i for i, (x, rich) in enumerate(zip(lines, content)) if heading[x[2]] or rich and not x[3]]
+        stays = [bool(region) and region[0] <= i <= region[-1] for i in range(len(lines))]
+    kept = [x[0] for x, stay in zip(lines, stays) if stay or heading[x[2]] or not x[3]]
+    return kept or [x[0] for x in lines]
 
 
 def _extract(columns: list[str]):

@@ -118,3 +118,65 @@ def test_marks_take_no_article(name):
 def test_marked_parts_that_hold_much_of_the_text():
     parts = "".join(f"<div class='widget'><p>{i}{LONG}</p></div>" for i in range(3))
     assert main_blocks(page(f"<main><h1>H</h1>{parts}<div class=share><a href=1>a</a> <a href=2>b</a></div></main>")) == ["H"] + [f"{i}{LONG}".strip() for i in range(3)]
+
+
+SHORT = "One sentence here."
+PARTS = "sidebar advert newsletter cookie-notice footer disqus_thread comment-thread user-comments reader-comments related-posts related-articles header site-header footer-text cookie-policy cookies-eu-banner adsbygoogle google-ads ad-unit advert-300x250".split()
+
+
+@pytest.mark.parametrize("text", [SHORT, LONG.strip() * 4])
+@pytest.mark.parametrize("name", PARTS)
+def test_marked_parts_go_beside_and_inside(name, text):
+    part = f"<div class='{name}'><p>{LONG * 3}</p><p>{LONG}</p></div>"
+    for html in (
+        f"<article><h1>H</h1><p>{text}</p></article>{part}", f"{part}<article><h1>H</h1><p>{text}</p>{part}</article>",
+        f"{part}<div><h1>H</h1><p>{text}</p></div>{part}", f"<main><h1>H</h1><p>{text}</p>{part}</main>",
+    ):
+        assert main_blocks(page(html)) == ["H", text], html
+
+
+INSIDE = {
+    "a form around the page": f"<form><h1>H</h1><p>{LONG}</p><p>{SHORT}</p></form>",
+    "a form around the page, no heading": f"<form><div><p>{LONG}</p><p>{SHORT}</p></div></form>",
+    "a menu that is not closed": f"<nav><ul><li><a href=/>Home</a></ul><article><h1>H</h1><p>{LONG}</p><p>{SHORT}</p></article>",
+    "a hidden body": f"<div aria-hidden=true><article><h1>H</h1><p>{LONG}</p><p>{SHORT}</p></article></div>",
+    "an unseen body": f"<div style='visibility: hidden'><main><h1>H</h1><p>{LONG}</p><p>{SHORT}</p></main></div>",
+    "the title in a header": f"<header><h1>H</h1></header><article><p>{LONG}</p><p>{SHORT}</p></article>",
+    "the title in a header, no article": f"<header><nav><a href=/>Home</a></nav><h1>H</h1></header><div><p>{LONG}</p><p>{SHORT}</p></div>",
+    "links and a skip link": f"<a href=#c>Skip</a><div><a href=/a>A</a> <a href=/b>B</a></div><h1>H</h1><p>{LONG}</p><p>{SHORT}</p><div><a href=/c>C</a></div>",
+    "a comment without an end": f"<article><h1>H</h1><p>{LONG}</p><p>{SHORT}</p></article><!-- <p>no</p>",
+    "a long sidebar beside a short page": f"<h1>H</h1><p>{LONG}</p><p>{SHORT}</p><aside><p>{LONG * 9}</p></aside>",
+    "a header of the site beside the title": f"<header><h1>Site</h1></header><article><h1>H</h1><p>{LONG}</p><p>{SHORT}</p></article>",
+}
+
+
+@pytest.mark.parametrize("name", INSIDE)
+def test_no_page_is_lost_in_its_frame(name):
+    want = ["H", LONG.strip(), SHORT]
+    assert main_blocks(page(INSIDE[name])) == (want[1:] if "no heading" in name else want)
+
+
+def test_links_inside_the_region_stay():
+    html = f"<div><h1>H</h1><p>{LONG}</p><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul><p>{LONG}</p></div><div><a href=/c>C</a></div>"
+    assert main_blocks(page(html)) == ["H", LONG.strip(), "A", "B", LONG.strip()]
+
+
+def test_generated_pages_against_their_own_text():
+    """Pages put together from known blocks: what was put into the article comes out, nothing else."""
+    import random
+    from html import escape
+
+    r = random.Random(4)
+    marks = PARTS + ["menu", "share", "newsletter-signup", "promo-box"]
+    for n in range(300):
+        blocks = ["".join(r.choice("ab é<&水") for _ in range(r.randrange(1, 200))).strip() or "x" for _ in range(r.randrange(1, 8))]
+        blocks = [" ".join(b.split()) or "x" for b in blocks]
+
+        def junk():
+            kind, name = r.randrange(4), r.choice(marks)
+            text = f"<p>{LONG * r.randrange(3)}junk</p>"
+            return [f"<nav>{text}</nav>", f"<div class='{name}'>{text}</div>", f"<aside>{text}</aside>", f"<script>{text}</script>"][kind]
+
+        body = "".join(r.choice(["<p>{}</p>", "<div>{}</div>", "<h2>{}</h2>", "<ul><li>{}</ul>"]).format(escape(b)) + (junk() if r.random() < 0.3 else "") for b in blocks)
+        frame = r.choice(["<article>{}</article>", "<main>{}</main>", "<div id=page><article>{}</article></div>"])
+        assert main_blocks(page(junk() + frame.format("<p>first</p>" + body) + junk())) == ["first", *blocks]
