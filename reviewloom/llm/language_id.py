@@ -251,8 +251,13 @@ def language_id(docs: DataFrame, folds: int = 4, held_out: int = 2, penalty: flo
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose language is determined with at least the share ``least`` of their letters; same columns."""
+    """Rows of ``docs`` whose language is determined with at least the share ``least`` of their letters; same columns.
+
+    Where no row is labelled nothing can be determined, and all rows with a letter stay.
+    """
     model = learn(docs.where(remainder(F.col("doc_id"), 4) != 2).select("text", "lang"))
+    if not model.langs:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
     found = predict(docs.select(others, "text"), model, keep_text=True)
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))

@@ -248,7 +248,6 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, ban
 def keep_one(docs: DataFrame, percent: int = 80, bands: int = 28) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, all columns as they are."""
     stay = minhash_dedup(docs, percent, bands=bands).where("keeper").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    keyed = docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(
-        "__k2", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-    )
-    return keyed.join(stay, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1.alias("__k1"), k2.alias("__k2"))
+    return keyed.join(stay, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select(*(F.col(f"row.`{c}`") for c in docs.columns))
