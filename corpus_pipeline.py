@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reviewloom.llm.decontaminate import decontaminate
 from reviewloom.llm.language_id import keep_identified
 from reviewloom.llm.minhash_dedup import keep_one
-from reviewloom.llm.mix_sources import mix_sources
+from reviewloom.llm.mix_sources import mixed
 from reviewloom.llm.scratch import stage
 from reviewloom.llm.suffix_dedup import cut_repeats
 
@@ -34,10 +33,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of times as ``copies`` (last column)."""
-    # Copies follow from id and source, so rows that share both are taken alike.
-    taken = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"]))
-    return joined.select(*(docs[c] for c in docs.columns), F.col("__copies").cast("int").alias("copies"))
+    return mixed(docs)
 
 
 STAGES = [
