@@ -7,8 +7,10 @@ finds all items within the radius. Candidates are decided exactly: sum of smalle
 (their counts in window and item) of ``similarity`` or more. A window with no shingle of any item has similarity 0 and gets
 no fingerprint. At similarity 0.8 fingerprints differ by 9.7 bits on average (deviation 2.9): the radius is 4.6 deviations off.
 
-The benchmark is the stated query set: read in parts of at most ``PART_BYTES`` of text, each broadcast and held against all
-documents in one pass without a shuffle. Words are lower-cased (A-Z). Null or blank texts and items match nothing; items of
+The benchmark is the stated query set. Repeated rows of it are dropped, the rest is cut into parts of at most ``PART_BYTES`` of
+text (one longer item is a part), each collected, broadcast and held against all documents in one pass without a shuffle. With
+several parts there is one at a time: documents are stored with a number, each pass writes its hits alone, and hits
+are joined in the end. Words are lower-cased (A-Z). Null or blank texts and items match nothing; items of
 fewer than five words are one shingle; repeated items are all reported; ties and repeated rows are decided row by row; an
 empty benchmark or table gives no hits.
 """
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.llm.scratch import stage
 from reviewloom.llm.text import mix, runs_hash, slabs, word_hashes, words
 
 SIZE, SIMILARITY, RADIUS, PART_BYTES = 5, 0.8, 23, 16 << 20
@@ -167,24 +170,66 @@ def _find(index: Index, similarity: float, columns: list[str]):
     return run
 
 
+def _parts(items: DataFrame, part_bytes: int) -> list:
+    """Conditions that cut distinct ``items`` (item_id, text) into parts of at most ``part_bytes``, by sums over hash ranges."""
+    key = F.shiftrightunsigned(F.xxhash64("item_id", "text"), 1)  # 63 bits, not negative
+    sized = items.select(key.alias("key"), (F.octet_length("text") + F.lit(16)).cast("long").alias("bytes"))
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    bits = max(0, int(4 * total // part_bytes).bit_length())
+    while True:
+        sums = sized.groupBy(F.shiftright("key", 63 - bits).alias("range")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+        ranges = sums.orderBy("range").collect()  # some 4 to 8 a part
+        if bits >= 40 or all(r["bytes"] <= part_bytes or r["n"] == 1 for r in ranges):
+            break
+        bits += 4
+    starts, size = [], part_bytes
+    for r in ranges:
+        if size + r["bytes"] > part_bytes:
+            starts.append(r["range"] << (63 - bits))
+            size = 0
+        size += r["bytes"]
+    stops = [*starts[1:], (1 << 63) - 1]
+    return [(key >= a) & ((key < b) if b != stops[-1] else F.lit(True)) for a, b in zip(starts, stops)]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` (a column text, none named hits) with hits: per matching item its id, the word at which the best window
-    starts, and the similarity."""
+    """``docs`` (a column text) with hits: per matching item its id, the word at which the best window starts, and the
+    similarity. A column ``hits`` of ``docs`` is left out."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    columns = docs.columns
-    out = docs.withColumn("hits", F.array().cast(_HITS))
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in sorted(rows)]))
-
-        def run(batches, index=index):
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    docs = docs.drop("hits")
+    cuts = _parts(items, part_bytes)
+    if len(cuts) > 1:
+        items = stage(items, "benchmark")
+
+    def search(rows: DataFrame, cut) -> tuple[DataFrame, object]:
+        found = sorted((r["item_id"], r["text"]) for r in items.where(cut).collect())
+        index, columns = spark.sparkContext.broadcast(Index(found)), rows.columns
+
+        def run(batches):
             yield from _find(index.value, similarity, columns)(batches)
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        with_hits = rows.withColumn("hits", F.array().cast(_HITS))
+        return with_hits.mapInArrow(run, with_hits.schema), index
+
+    if not cuts:
+        return docs.withColumn("hits", F.array().cast(_HITS))
+    if len(cuts) == 1:
+        return search(docs, cuts[0])[0]
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others"), "text")
+    stored = stage(packed if len(docs.columns) > 1 else packed.drop("others"), "numbered")
+    hits = None
+    for cut in cuts:
+        found, index = search(stored.select("row", "text"), cut)
+        part = stage(found.select("row", F.explode("hits").alias("hit")), "hits")
+        index.destroy()
+        hits = part if hits is None else hits.union(part)
+    best = F.max(F.struct(F.col("hit.similarity").alias("similarity"), (-F.col("hit.start")).alias("minus"))).alias("best")
+    one = hits.groupBy("row", F.col("hit.item_id").alias("item_id")).agg(best)
+    hit = F.struct("item_id", (-F.col("best.minus")).alias("start"), F.col("best.similarity").alias("similarity"))
+    lists = stage(one.groupBy("row").agg(F.sort_array(F.collect_list(hit)).cast(_HITS).alias("hits")), "hits")
+    out = stored.join(lists, "row", "left")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns), F.coalesce("hits", F.array().cast(_HITS)).alias("hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

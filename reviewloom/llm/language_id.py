@@ -99,6 +99,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+#: Distinct values of ``lang`` that a model is made for.
+MOST_LANGS = 500
+
+
 class Model:
     """Log-probabilities by bucket and language, and the scripts that each language uses."""
 
@@ -114,7 +118,14 @@ class Model:
 
 
 def learn(labelled: DataFrame) -> Model:
-    """``labelled`` (text, lang) -> model; only sums of fixed size reach the driver."""
+    """``labelled`` (text, lang) -> model; only sums of fixed size for each of at most ``MOST_LANGS`` languages reach the driver.
+
+    A model takes 0.3 MB a language on every executor, counting 0.6 MB in every task. More distinct values of ``lang`` than
+    ``MOST_LANGS`` are an error: such a column holds something else than languages, or needs its tags mapped first.
+    """
+    n = labelled.where("lang is not null").select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if n > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} distinct values of lang: map the tags to languages first")
     sums = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(_count, "lang string, chunk int, counts binary")
     summed = stage(sums, "lang-counts").repartition("lang", "chunk").sortWithinPartitions("lang", "chunk").mapInArrow(_add, "lang string, chunk int, counts binary")
     rows = summed.collect()

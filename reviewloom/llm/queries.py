@@ -22,6 +22,8 @@ from reviewloom.llm.suffix_dedup import suffix_dedup
 from reviewloom.llm.toxicity import toxicity
 from reviewloom.session import shared_path
 
+#: Vocabulary of the tokenizer that `op10_token_counts` counts with; its argument ``vocabulary`` names another file.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -92,10 +94,10 @@ ORACLE["op8_chat_format"] = chat.SQL % "conversations"
 
 
 @query
-def op10_token_counts(spark, sf_dir):
+def op10_token_counts(spark, sf_dir, vocabulary=VOCABULARY):
     """Totals after inserts, a batch delivered twice, deletes, their return, and revised counts: those of all documents."""
     docs = table(spark, sf_dir, "documents")
-    counts = stage(tokens.count_tokens(docs, [tokens.bpe_tokenizer()]), "token-counts")
+    counts = stage(tokens.count_tokens(docs, [tokens.bpe_tokenizer(vocabulary)]), "token-counts")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
     early, late, moved = counts.where(part < 7), counts.where(part >= 7), counts.where(part == 3)
     estimate = late.withColumn("n_tokens", F.col("n_tokens") + 5)  # a first figure, to be revised

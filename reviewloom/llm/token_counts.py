@@ -26,8 +26,6 @@ from reviewloom.llm.scratch import stage
 from reviewloom.llm.text import WORD
 
 GROUP = ["source", "lang", "tokenizer"]
-#: Files of the tokenizers' vocabularies; a parameter of ``bpe_tokenizer``.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split into pieces that goes with this vocabulary (fixed value).
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -40,7 +38,7 @@ class Tokenizer:
     make: Callable[[], Callable[[list[str]], list[int]]]
 
 
-def bpe_tokenizer(path: str = VOCABULARY, version: str = "byte_bpe_50k/1", pieces: str = PIECES) -> Tokenizer:
+def bpe_tokenizer(path: str, version: str = "byte_bpe_50k/1", pieces: str = PIECES) -> Tokenizer:
     """Byte-level BPE from a file of ranks; the driver reads it once and tasks get its content (about 1 MB)."""
     with open(path, "rb") as f:
         content = f.read()
@@ -110,27 +108,28 @@ class Rollup:
             return self.spark.createDataFrame([], f"{schema}, batch string")
 
     def committed(self) -> DataFrame:
-        """Ids of the batches that count."""
-        marks = self._read("marks", "folded array<string>")
-        return marks.select("batch", "folded")
+        """(batch, folded): a row per batch that counts, and one per batch that was folded into it."""
+        return self._read("marks", "folded string").select("batch", "folded")
 
     def commit(self, batch: str, change: DataFrame) -> bool:
         """Adds the sums of a batch; False if it was committed before."""
         seen = self.committed()
-        if not seen.where((F.col("batch") == batch) | F.array_contains("folded", batch)).isEmpty():
+        if not seen.where((F.col("batch") == batch) | (F.col("folded") == batch)).isEmpty():
             return False
-        self._write(batch, change, [])
+        self._write(batch, change)
         return True
 
-    def _write(self, batch: str, change: DataFrame, folded: list[str]) -> None:
-        change.select(*GROUP, "n_docs", "n_tokens").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sums/batch={batch}")
-        mark = self.spark.createDataFrame([(folded,)], "folded array<string>")
-        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch}")
+    def _write(self, batch: str, change: DataFrame, folded: DataFrame | None = None) -> None:
+        change.select(*GROUP, "n_docs", "n_tokens").write.mode("overwrite").parquet(f"{self.path}/sums/batch={batch}")
+        mark = self.spark.createDataFrame([(None,)], "folded string")
+        mark = mark if folded is None else mark.union(folded)
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch}")  # one file: there or not; a row a batch
 
     def _live(self) -> DataFrame:
         marks = self.committed()
-        gone = marks.select(F.explode("folded").alias("batch"))
-        return self._read("sums", self._SUMS).join(marks.join(gone, "batch", "left_anti").select("batch"), "batch", "left_semi")
+        gone = marks.where("folded is not null").select(F.col("folded").alias("batch"))
+        alive = marks.select("batch").distinct().join(gone, "batch", "left_anti")
+        return self._read("sums", self._SUMS).join(alive, "batch", "left_semi")
 
     def totals(self) -> DataFrame:
         sums = self._live().groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -138,8 +137,8 @@ class Rollup:
 
     def compact(self, batch: str) -> None:
         """Folds all that counts into one batch with a new id; the ids folded stay known."""
-        ids = sorted(r["batch"] for r in self.committed().select("batch").collect())  # a row per batch
-        if batch in ids:
+        marks = self.committed()
+        if not marks.where((F.col("batch") == batch) | (F.col("folded") == batch)).isEmpty():
             return
-        old = {x for r in self.committed().select("folded").collect() for x in r["folded"]}
-        self._write(batch, stage(self.totals(), "compact"), sorted(old | set(ids)))
+        known = marks.select("batch").union(marks.where("folded is not null").select("folded")).distinct()
+        self._write(batch, stage(self.totals(), "compact"), stage(known, "folded"))

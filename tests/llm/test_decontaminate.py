@@ -70,3 +70,16 @@ def test_empty_sides_and_kept_columns(spark):
     docs = spark.createDataFrame([(1, "x " + item, 5), (2, "clean", 6), (3, None, None)], "doc_id long, text string, hits long")
     kept = decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(2, "clean", 6), (3, None, None)]
+
+
+def test_many_copies_of_one_item_and_parts_of_bounded_size(spark):
+    from reviewloom.llm.decontaminate import _parts
+
+    item = " ".join(map(str, range(30)))
+    rows = [(1, item)] * 10_000 + [(i, f"{i} {item} {i}") for i in range(2, 40)] + [(99, "long " * 900)]
+    items = spark.createDataFrame(rows, "item_id long, text string").distinct()
+    parts = [items.where(cut).collect() for cut in _parts(items, 1000)]
+    assert sorted(r for p in parts for r in p) == sorted(set(rows)) and len(parts) < 16
+    assert all(len(p) == 1 or sum(len(r["text"]) + 16 for r in p) <= 1000 for p in parts)
+    docs = [(0, item), (1, "clean"), (2, f"x {item}")]
+    assert run(spark, docs, rows, part_bytes=1000) == brute(docs, list(dict.fromkeys(rows)))

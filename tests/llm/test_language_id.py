@@ -55,7 +55,13 @@ def test_nothing_to_learn_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "abc", None), (None, None, None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in language_id(docs).collect()] == ["und", "und"]
     assert language_id(docs.where("false")).collect() == []
-    assert keep_identified(docs).collect() == []
+    assert [r["doc_id"] for r in keep_identified(docs).collect()] == [1]  # nothing to learn from: texts with letters stay
+
+
+def test_thousands_of_tags_are_refused_with_a_message(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "'some text' as text", "concat('x', id) as lang")
+    with pytest.raises(ValueError, match="map the tags"):
+        language_id(docs)
 
 
 def test_keeps_columns(spark):

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from reviewloom.llm import token_counts as t
+from reviewloom.llm.queries import VOCABULARY
 from tests.conftest import SF_DIR
 
 ROWS = [(1, "a b", "x", "en"), (2, "a  b\nc", "x", None), (3, None, None, "en"), (4, "", "y", "en"), (4, "", "y", "en"), (5, "w " * 3000, "x", "en")]
@@ -47,12 +48,12 @@ def test_inserts_deletes_revisions_and_redelivery(spark, tmp_path):
     assert rollup.commit("g", t.signed(after=counted(ROWS[:1]))) and totals(rollup) == sums(ROWS[2:5] + new + ROWS[:1])
 
 
-@pytest.mark.skipif(not os.path.isdir(SF_DIR) or not os.path.exists(t.VOCABULARY), reason="test tables or vocabulary not there")
+@pytest.mark.skipif(not os.path.isdir(SF_DIR) or not os.path.exists(VOCABULARY), reason="test tables or vocabulary not there")
 def test_query_is_the_sum_over_all_documents(spark):
     from reviewloom.llm.queries import QUERIES
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "source", "lang").collect()]
-    count = t.bpe_tokenizer().make()
+    count = t.bpe_tokenizer(VOCABULARY).make()
     want = {k: v for k, v in sums(rows).items() if k[2] == "words/1"}
     for _, text, source, lang in rows:
         key = source, lang, "byte_bpe_50k/1"
