@@ -9,9 +9,11 @@
 4. No pair is written. A pair is counted at its first meeting only (decided from the two vectors themselves), so a task
    returns a number of links and one forest edge per vector; Spark adds the numbers and connects the forests.
 
-Of pairs at cosine 0.9 a table with scale 0.2 and 8 probes finds 78 %, four tables 99.8 %, more above 0.9; nothing below is
-linked. A table has some 1,200 cells in use per ``scale`` 0.2 at 64 dimensions, 256 times as many at half the scale (with
-more tables, to keep recall): choose the scale so that a cell holds thousands.
+The finer the cells, the fewer vectors meet, and the more tables are needed. Scale and tables follow from the number of
+vectors: for each scale of a grid the chance that a pair at the threshold meets in a table is measured on 4,000 random pairs, the
+share of all vectors that one meets on a sample of at most ``SAMPLE`` vectors (least hashes), and tables are as many as find
+``RECALL`` of such pairs; taken is the scale of least work, copies sent and pairs compared. Every vector is placed and compared;
+the sample decides about work only. Nothing below the threshold is linked, pairs above it are found more often.
 
 Vectors that are null, zero, empty, or hold null or non-finite components link with nothing. Vectors of different lengths
 are never compared. Rows that share a ``vec_id`` are told apart by vector; null ids come last in naming a component.
@@ -31,7 +33,11 @@ from reviewloom.llm.components import connected_components
 from reviewloom.llm.scratch import stage
 from reviewloom.llm.text import mix
 
-COSINE, TABLES, PROBES, SCALE, BLOCK = 0.9, 4, 8, 0.2, 2000
+COSINE, PROBES, BLOCK = 0.9, 8, 2000
+#: Share of the pairs at the threshold that tables are made for, vectors looked at to choose the scale, scales tried.
+RECALL, SAMPLE, SCALES = 0.997, 4000, tuple(0.3 * 0.92**k for k in range(20))
+#: A copy of a vector sent to a cell costs as much as so many comparisons.
+COPY = 400
 LAST = (1 << 63) - 1
 
 
@@ -101,37 +107,82 @@ def cells(unit: np.ndarray, tables: int, probes: int, scale: float) -> tuple[np.
     return home, probe
 
 
-def _units(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def _meets(home: np.ndarray, probe: np.ndarray, other_home: np.ndarray, other_probe: np.ndarray) -> np.ndarray:
+    return (home == other_home) | (probe == other_home[:, None]).any(1) | (other_probe == home[:, None]).any(1)
+
+
+@cache
+def chance(dimensions: int, cosine: float, probes: int, scale: float, pairs: int = 4000) -> float:
+    """Measured chance that two vectors at ``cosine`` meet in a table."""
+    r = np.random.default_rng(9)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.normal(size=(2, pairs, dimensions)))
+    y = y - (x * y).sum(1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine * cosine) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    (a, p), (b, q) = (cells(v, 1, probes, scale) for v in (x, y))
+    return float(_meets(a[:, 0], p[:, 0], b[:, 0], q[:, 0]).mean())
+
+
+def crowd(unit: np.ndarray, probes: int, scale: float) -> float:
+    """Share of the other vectors of a sample that a vector meets in a table."""
+    home, probe = cells(unit, 1, probes, scale)
+    names, count = np.unique(home[:, 0], return_counts=True)
+
+    def homes(at: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(names, at), len(names) - 1)
+        return np.where(names[place] == at, count[place], 0)
+
+    met = homes(home[:, 0]) - 1 + 2 * homes(probe[:, 0]).sum(1)
+    return float(met.mean()) / max(1, len(unit) - 1)
+
+
+def plan(n: int, unit: np.ndarray, cosine: float, probes: int = PROBES, recall: float = RECALL) -> tuple[float, int, float]:
+    """Scale, number of tables and work per vector for ``n`` vectors like those of a sample."""
+    best = None
+    for scale in SCALES:
+        p = chance(unit.shape[1], cosine, probes, scale)
+        if p < 0.02:
+            break
+        tables = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999)))))
+        work = tables * ((1 + probes) * COPY + n * crowd(unit, probes, scale))
+        if best is None or work < best[2]:
+            best = scale, tables, work
+    return best or (SCALES[0], 1, 0.0)
+
+
+def _units(vectors: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for x in batch.column("embedding"):
-            v = None
-            if x.is_valid and len(x.values) and not x.values.null_count:
-                v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                v = None if not np.isfinite(v).all() or not v.any() else (v + 0.0).tobytes()
-            out.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "vec"])
+def _clean(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("embedding"):
+                v = None
+                if x.is_valid and len(x.values) and not x.values.null_count:
+                    v = x.values.to_numpy(zero_copy_only=False).astype(kind)
+                    v = None if not np.isfinite(v).all() or not v.any() else (v + v.dtype.type(0)).tobytes()
+                out.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "vec"])
+
+    return run
 
 
-def _by_length(vectors: list[bytes]):
+def _by_length(vectors: list[bytes], kind: str):
     sizes = np.array([len(v) for v in vectors])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        yield at, _units([vectors[i] for i in at.tolist()])
+        yield at, _units([vectors[i] for i in at.tolist()], kind)
 
 
-def _place(tables: int, probes: int, scale: float):
+def _place(tables: int, probes: int, scale: float, kind: str):
     def run(batches):
         for batch in batches:
             for start in range(0, len(batch), 2000):
                 part = batch.slice(start, 2000)
-                for at, unit in _by_length(part.column("vec").to_pylist()):
+                for at, unit in _by_length(part.column("vec").to_pylist(), kind):
                     home, probe = cells(unit, tables, probes, scale)
                     node = part.column("node").take(pa.array(at))
                     for t in range(tables):
@@ -145,12 +196,12 @@ def _place(tables: int, probes: int, scale: float):
     return run
 
 
-def _compare(cosine: float, tables: int, probes: int, scale: float):
+def _compare(cosine: float, tables: int, probes: int, scale: float, kind: str):
     """Groups (cell, i, j) in order -> (node, links, parent): links counted here, and an edge to the node's forest."""
 
     def group(rows: pa.Table):
         names = rows.column("node").to_pylist()
-        unit = _units(rows.column("vec").to_pylist())
+        unit = _units(rows.column("vec").to_pylist(), kind)
         weight = rows.column("m").to_numpy()
         home, side = rows.column("home").to_numpy(), rows.column("side").to_numpy()
         t = rows.column("t")[0].as_py()
@@ -235,20 +286,36 @@ def _compare(cosine: float, tables: int, probes: int, scale: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
-    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
+def _planned(nodes: DataFrame, cosine: float, probes: int, kind: str) -> tuple[float, int]:
+    """Scale and tables for the most frequent length of ``nodes`` (node, vec)."""
+    counts = nodes.groupBy(F.octet_length("vec").alias("bytes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bytes").first()
+    if counts is None:
+        return SCALES[0], 1
+    sample = nodes.where(F.octet_length("vec") == counts["bytes"]).orderBy("node").limit(SAMPLE).select("vec").collect()  # nodes are hashes
+    scale, tables, _ = plan(counts["n"], _units([bytes(r["vec"]) for r in sample], kind), cosine, probes)
+    return scale, tables
+
+
+def embedding_dedup(
+    vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES, *, tables: int | None = None, scale: float | None = None, block: int = BLOCK
+) -> DataFrame:
+    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept. ``scale`` and ``tables`` follow from the
+    vectors unless both are given."""
     id_type = vectors.schema["vec_id"].dataType.simpleString()
-    rows = vectors.select("vec_id", "embedding").mapInArrow(_clean, f"vec_id {id_type}, vec binary")
+    kind = "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
+    rows = vectors.select("vec_id", "embedding").mapInArrow(_clean(kind), f"vec_id {id_type}, vec binary")
     rows = stage(rows.withColumn("node", F.unhex(F.md5("vec"))).withColumn("k1", F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST))), "vectors")
     nodes = stage(rows.where("vec is not null").groupBy("node").agg(F.count("*").alias("m"), F.min("k1").alias("first"), F.first("vec").alias("vec")), "vector-nodes")
-    placed = stage(nodes.select("node", "vec").mapInArrow(_place(tables, probes, scale), "cell long, node binary, t int, home boolean"), "cells")
+    if scale is None or tables is None:
+        scale, tables = _planned(nodes, cosine, probes, kind)
+    placed = stage(nodes.select("node", "vec").mapInArrow(_place(tables, probes, scale, kind), "cell long, node binary, t int, home boolean"), "cells")
     used = placed.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count("*").alias("members")).where("homes > 0 and members > 1")
     used = stage(used.select("cell", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "used-cells")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = placed.join(used, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "t", "home")
     members = members.join(nodes.select("node", "m", "vec"), "node").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = stage(members.mapInArrow(_compare(cosine, tables, probes, scale), "node binary, links long, parent binary"), "vector-links")
+    found = stage(members.mapInArrow(_compare(cosine, tables, probes, scale, kind), "node binary, links long, parent binary"), "vector-links")
 
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

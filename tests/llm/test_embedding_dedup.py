@@ -60,3 +60,31 @@ def test_recall_on_the_test_table(spark):
     want = ((x @ x.T) >= 0.9).sum(1) - 1
     got = np.array([r["n_links"] for r in e.embedding_dedup(df).orderBy("vec_id").collect()])
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_plan_follows_the_number_of_vectors():
+    r = np.random.default_rng(1)
+    unit = r.normal(size=(4000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    plans = {n: e.plan(n, unit, 0.9) for n in (50_000, 5_000_000, 100_000_000)}
+    scales, tables, work = zip(*plans.values())
+    assert scales[0] > scales[1] > scales[2] and tables[0] < tables[1] < tables[2]
+    assert work[2] < 60 * work[0]  # for 2,000 times the vectors
+    for scale, t in zip(scales, tables):
+        assert 1 - (1 - e.chance(64, 0.9, 8, scale)) ** t >= e.RECALL - 1e-9
+
+
+@pytest.mark.parametrize("scale,tables", [(0.3, 2), (0.16, 9), (0.12, 24)])
+def test_recall_at_several_scales(spark, scale, tables):
+    """Pairs at 0.9 to 0.93 among random vectors."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = r.normal(size=(600, 64))
+    z -= (x * z).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    c = r.uniform(0.9, 0.93, 600)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = e.embedding_dedup(df, scale=scale, tables=tables).groupBy().sum("n_links").first()[0]
+    assert got >= 0.98 * 1200
