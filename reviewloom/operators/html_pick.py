@@ -37,26 +37,23 @@ _HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|$)
 
 # Stand-ins for line breaks while text is put together: <br>, edge of a block, edge of a paragraph.
 _BR, _EDGE, _PARAGRAPH = "\x01", "\x02", "\x03"
-_SPACES = re.compile(r"[ \t\n\r\f]+")
+_SPACES = re.compile(r"[\t\n\r\f][ \t\n\r\f]*| [ \t\n\r\f]+")
+_MAYBE_HIDDEN = re.compile(r"<[sShHtTnN][cCtTeEoO][rRyYaAmMsS]").search
 _BREAKS = re.compile(r" ?[\x01\x02\x03][ \x01\x02\x03]*")
 
 
+_STANDS_FOR = {**dict.fromkeys(_BLOCK, _EDGE), "br": _BR, "p": _PARAGRAPH}
+
+
 def _as_break(m: re.Match) -> str:
-    tag = (m.group(2) or "").lower()
-    if tag == "br":
-        return _BR
-    return _PARAGRAPH if tag == "p" else _EDGE if tag in _BLOCK else ""
+    tag = m[2]
+    return _STANDS_FOR.get(tag.lower(), "") if tag else ""
 
 
 def _as_newlines(m: re.Match) -> str:
     breaks = 0
     for c in m.group():
-        if c == _BR:
-            breaks += 1
-        elif c == _EDGE:
-            breaks = max(breaks, 1)
-        elif c == _PARAGRAPH:
-            breaks = max(breaks, 2)
+        breaks = breaks + 1 if c == _BR else max(breaks, (c == _EDGE) + 2 * (c == _PARAGRAPH))
     return "\n" * breaks
 
 
@@ -165,8 +162,8 @@ class _Page:
         self.by_tag: dict[str, list[int]] = {}
         self._open: list[int] = []
         self._depths: dict[str, list[int]] = {}  # of each tag among the open elements
-        self._steps: dict[Css, list[int]] = {}
-        self._texts: dict[tuple[int, Css | None], str] = {}
+        self._steps: dict[int, list[int]] = {}  # by identity of the step, which is quicker than by value
+        self._texts: dict[tuple[int, int], str] = {}
         at = 0
         while m := _TAG.search(html, at):
             at = m.end()
@@ -197,9 +194,11 @@ class _Page:
         self.begin.append(m.start())
         self.content.append([m.end(), m.end()])
         self.end.append(i + 1)
-        self.by_tag.setdefault(tag, []).append(i)
+        if tag not in self.by_tag:
+            self.by_tag[tag], self._depths[tag] = [], []
+        self.by_tag[tag].append(i)
         if tag not in _VOID:
-            self._depths.setdefault(tag, []).append(len(self._open))
+            self._depths[tag].append(len(self._open))
             self._open.append(i)
 
     def _close_top(self, at: int) -> None:
@@ -214,7 +213,7 @@ class _Page:
         if not depths:
             return
         depth = depths[-1]
-        if any(d[-1] > depth for t in stop if (d := self._depths.get(t))):
+        if depth + 1 < len(self._open) and stop and any(d[-1] > depth for t in stop if (d := self._depths.get(t))):
             return
         while len(self._open) > depth:
             self._close_top(at)
@@ -233,27 +232,29 @@ class _Page:
         for k in without:
             parts += [self.html[start : self.begin[k]], "<div>"]
             start = max(start, self.content[k][1])
-        inner = "".join([*parts, self.html[start:stop]])
+        inner = "".join([*parts, self.html[start:stop]]) if parts else self.html[start:stop]
         if "<" in inner:
-            inner = _TAG.sub(_as_break, _HIDDEN.sub("", inner))
-        shown = _BREAKS.sub(_as_newlines, _SPACES.sub(" ", inner))
-        return unescape(shown.strip(" \n"))
+            inner = _TAG.sub(_as_break, _HIDDEN.sub("", inner) if _MAYBE_HIDDEN(inner) else inner)
+        shown = _SPACES.sub(" ", inner)
+        if _BR in shown or _EDGE in shown or _PARAGRAPH in shown:
+            shown = _BREAKS.sub(_as_newlines, shown)
+        return unescape(shown.strip(" \n")) if "&" in shown else shown.strip(" \n")
 
     def _matches(self, step: Css, i: int) -> bool:
         raw = self.raw_attrs[i]
-        if not step.classes and not step.attr:
-            return True
         # Most elements fail here, before their attributes are taken apart.
-        if any(c not in raw for c in step.classes) or step.attr not in raw.lower():
+        if not raw or step.classes and step.classes[0] not in raw or step.attr and step.attr not in raw.lower():
             return False
         return step.matches(self.attrs(i))
 
     def _step(self, step: Css) -> list[int]:
         """All elements of the page that match a step, in page order."""
-        if step not in self._steps:
+        found = self._steps.get(id(step))
+        if found is None:
             own = self.by_tag.get(step.tag, []) if step.tag else range(len(self.tags))
-            self._steps[step] = [i for i in own if self._matches(step, i)]
-        return self._steps[step]
+            plain = not step.classes and not step.attr
+            found = self._steps[id(step)] = own if plain else [i for i in own if self._matches(step, i)]
+        return found
 
     def _outermost(self, hits: list[int]) -> list[int]:
         """Of elements in page order, those that lie in no other of them."""
@@ -294,14 +295,15 @@ class _Page:
 
     def _own_text(self, i: int, step: Css | None) -> str:
         """Text of a match without that of the step's further matches inside it, made once."""
-        if (i, step) not in self._texts:
+        key = (i, id(step))
+        if key not in self._texts:
             inner, own = [], self._step(step) if step else []
             k = bisect_left(own, i + 1)
             while k < len(own) and own[k] < self.end[i]:
                 inner.append(own[k])
                 k = bisect_left(own, self.end[own[k]], k)
-            self._texts[i, step] = self.text(i, inner)
-        return self._texts[i, step]
+            self._texts[key] = self.text(i, inner)
+        return self._texts[key]
 
     def pick(self, p: Pick, root: int | None = None):
         span = (0, len(self.tags)) if root is None else (root + 1, self.end[root])
