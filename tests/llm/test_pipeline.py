@@ -53,3 +53,16 @@ def test_odd_rows(spark, tmp_path):
             docs = function(spark, docs, str(tmp_path))
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert docs.count() == (1 if some else 0)  # the others have no letter or are near copies
+
+
+def test_columns_of_any_name_and_no_labels(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["copies", "__k1", "hits", "row", "node", "h1", "key"]
+    rows = [(i, f"text number {i} of its own with other words {i * 7} {i * 13}", None, "s", 3, *range(7)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in names))
+    for name, function in corpus_pipeline.STAGES:
+        before, docs = docs, function(spark, docs, str(tmp_path))
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns == [*before.columns, *(["copies_mixed"] if name == "mix_sources" else [])]
+    got = docs.collect()
+    assert len(got) == 40 and all(tuple(r[c] for c in names) == tuple(range(7)) and r["copies_mixed"] in (1, 2) for r in got)
