@@ -7,8 +7,8 @@ training texts: a few words do not drown in a long text. Training starts with ev
 then only windows that the model finds toxic, and each toxic text's worst one, remain so. Vectors of n-grams seen n times count
 n / (n + ``RARE``); only those in fewer than ``LEAST`` words, whatever the sample, have no weight.
 
-Training uses at most ``SAMPLE`` texts of each class and ``SAMPLE_BYTES`` of text, chosen by a hash of ``doc_id`` (shortest
-first only where one text alone exceeds the bound). Scoring reads all of every text, without a shuffle: the model is a
+Training uses at most ``SAMPLE`` texts of each class and half of ``SAMPLE_BYTES`` of text for each, chosen by a hash of ``doc_id``;
+a text that does not fit what is left of that, such as one of over 6 MiB, is no training text. Scoring reads all of every text, without a shuffle: the model is a
 vector of ``1 << BITS`` numbers. Null texts and texts without a word have score 0; with no labels of both classes every
 score is 0. A document labelled twice counts as toxic if one label says so.
 """
