@@ -69,3 +69,78 @@ def test_keeps_columns(spark):
                                  "doc_id long, text string, lang string, source string, lang_pred long, row int")
     got = keep_identified(docs)
     assert got.columns == docs.columns and sorted(r["doc_id"] % 3 for r in got.collect()) == [0] * 5 + [1] * 5
+
+
+def plain(rows, penalty=6.0):
+    """Scores by the definition, one word and one path at a time: (id, lang_pred, score)."""
+    import math
+    import unicodedata
+    from bisect import bisect_right
+    from collections import Counter, defaultdict
+
+    from reviewloom.llm.language_id import RANGES
+
+    def words(text):
+        kinds = [unicodedata.category(c)[0] for c in text]
+        out, run = [], ""
+        for c, k in [*zip(text, kinds), (" ", "Z")]:
+            if k in "LM":
+                run += c.lower() if len(c.lower()) == 1 else c
+            elif run:
+                out += [run] if any(unicodedata.category(x)[0] == "L" for x in run) else []
+                run = ""
+        return out
+
+    def buckets(word):
+        codes = [0, *map(ord, word), 0]
+        for n in (2, 3, 4):
+            for i in range(len(codes) - n + 1):
+                h = n
+                for c in codes[i : i + n]:
+                    h = (h * 0x9FB21C651E98DF25 + c) % 2**64
+                yield (h * 0xD6E8FEB86659FD93 % 2**64) >> 48
+
+    def script(c):
+        return RANGES[bisect_right([a for a, _ in RANGES], ord(c)) - 1][1]
+
+    grams, scripts = defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            grams[lang], scripts[lang]
+            for w in words(text):
+                grams[lang].update(buckets(w))
+                scripts[lang].update(map(script, w))
+    langs = sorted(grams)
+    uses = {s: [g for g in langs if scripts[g][s] >= 0.01 * max(1, sum(scripts[g].values()))] or langs for s in {s for _, s in RANGES}}
+    for i, text, _ in rows:
+        state, ws = None, words(text or "")
+        for w in ws:
+            own = {g: sum(math.log(0.99 * grams[g][b] / max(1, sum(grams[g].values())) + 0.01 / 65536) for b in buckets(w)) - 1e6 * (g not in uses[script(w[0])]) for g in langs}
+            if state is None:
+                state = {g: (own[g], [g]) for g in langs}
+            else:
+                state = {g: max(((state[f][0] - penalty * (f != g) + own[g], [*state[f][1], g]) for f in langs), key=lambda x: x[0]) for g in langs}
+        if not ws:
+            yield i, "und", 0.0
+            continue
+        letters = Counter()
+        for g, w in zip(max(state.values(), key=lambda x: x[0])[1], ws):
+            letters[g] += len(w)
+        best = min(letters, key=lambda g: (-letters[g], g))
+        yield i, best, letters[best] / sum(letters.values())
+
+
+def test_scores_by_the_definition(spark):
+    import random
+
+    r = random.Random(7)
+    pools = {"en": EN.split(), "fr": FR.split(), "ru": "быстрая коричневая лиса прыгает через ленивую собаку".split(), "x": ["ŉé́", "Ǆa", "水火", "42", "—", "ab́c"]}
+    rows = []
+    for i in range(60):
+        text = " ".join(r.choice(pools[r.choice([*pools, "en"]) if r.random() < 0.3 else ("en", "fr", "ru")[i % 3]]) for _ in range(r.randrange(25)))
+        rows.append((i, text, r.choice([("en", "fr", "ru")[i % 3], None])))
+    rows += [(100, None, "en"), (101, "42 — 7", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in predict(df.select("doc_id", "text"), learn(df)).collect()}
+    for i, lang, score in plain(rows):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score)
