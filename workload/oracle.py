@@ -293,3 +293,10 @@ SELECT {_anon('u')} AS user_id, rating AS user_rating, t AS review_text, {_relti
 FROM d JOIN sampled USING (file, pos)""",
     "final_csv_roundtrip": ORACLE["curated_reviews"],
 }
+
+# The same results by other ways.
+ORACLE |= {
+    "curated_large_documents": ORACLE["curated_documents"],
+    "committed_documents": ORACLE["documents_json_roundtrip"],
+    "page_store_documents": ORACLE["collect_place_documents"],
+}

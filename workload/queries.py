@@ -21,10 +21,12 @@ from reviewloom.operators.tables import (
     value_distribution,
 )
 from reviewloom.plans.collect import collect_documents, wanted_pages
-from reviewloom.plans.curate import curate_documents, curate_reviews
+from reviewloom.plans.curate import curate_documents, curate_large_documents, curate_reviews
 from reviewloom.session import shared_path
 from reviewloom.sources import sinks
+from reviewloom.sources.pages import read_pages, write_page_store
 from reviewloom.sources.places import scan_places
+from reviewloom.sources.store import DocumentStore
 from reviewloom.sources.documents import accepted, blank_rejected, document_reviews, parse_documents, place_fields, scan_documents
 from workload import adapters as a
 from workload.adapters import AS_OF, LINK, table
@@ -472,6 +474,38 @@ def curated_documents(spark, sf_dir):
     return final.withColumn("user_rating", F.col("user_rating").cast("bigint"))
 
 
+@query
+def curated_large_documents(spark, sf_dir):
+    """The same table by the way of documents that are too large for one value."""
+    final, _ = curate_large_documents(a.place_documents(spark, sf_dir), as_of=AS_OF, cap=20)
+    return final.withColumn("user_rating", F.col("user_rating").cast("bigint"))
+
+
+@query
+def committed_documents(spark, sf_dir):
+    """Documents added in two batches, beside one that was never committed and one that came twice."""
+    store = DocumentStore(spark, shared_path(spark, "store"))
+    docs = sinks.stage(_assembled(spark, sf_dir), "assembled")
+    odd = F.pmod(F.xxhash64("doc_key"), F.lit(2)) == 1
+    store.commit(docs.where(odd), batch="1")
+    sinks.write_documents(docs, f"{store.path}/batch=lost")
+    store.commit(docs.join(store.keys(), "doc_key", "left_anti"), batch="2")
+    store.commit(docs, batch="2")
+    read = blank_rejected(parse_documents(scan_documents(spark, store.path)))
+    return document_reviews(read).select("file", "pos", "user_name", F.col("rating").cast("bigint").alias("rating"), "text")
+
+
+@query
+def page_store_documents(spark, sf_dir):
+    """Documents collected from pages that are bucketed by URL."""
+    path = shared_path(spark, "page-store")
+    write_page_store(table(spark, sf_dir, "pages").select("url", "html"), path, 8)
+    docs = collect_documents(a.page_places(spark, sf_dir), read_pages(spark, path), a.done_keys(spark, sf_dir))
+    return docs.select(
+        "doc_key", "place_info.name", "place_info.avg_rating", F.size("reviews").cast("bigint").alias("n_reviews")
+    )
+
+
 @query
 def final_csv_roundtrip(spark, sf_dir):
     path = shared_path(spark, "final")
