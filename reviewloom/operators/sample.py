@@ -66,7 +66,7 @@ def fetch(df: DataFrame, chosen: DataFrame, keys: Sequence[str], how: str = "lef
     """
     other = chosen.select(*(F.col(k).alias(f"_chosen_{k}") for k in keys))
     same = [F.col(k).eqNullSafe(F.col(f"_chosen_{k}")) for k in keys]
-    return df.join(other, reduce(lambda a, b: a & b, same), how).select(*(df[c] for c in df.columns))
+    return df.join(other, reduce(lambda a, b: a & b, same), how).drop(*other.columns)
 
 
 def _bits(keys: Sequence[str], n_buckets: int) -> tuple[Column, Column]:
